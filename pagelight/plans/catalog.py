@@ -1,4 +1,169 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with equivalent SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagelight.functions import scalar
+from pagelight.operators import decode, layout, pages
+from pagelight.sources import views
+
+_RASTER = """px AS (SELECT page_id, y, x - 1 AS x, greatest(0, least(255, floor((v::DOUBLE + 0.6) * 200)))::INT AS px FROM (
+ SELECT label::BIGINT AS page_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS x FROM embeddings))"""
+_GLYPHS = """ln AS (SELECT doc_id AS page_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_id FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+ ch AS (SELECT page_id, line_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS seq FROM (SELECT page_id, line_id, string_split(line, '') AS c FROM ln)),
+ gl AS (SELECT page_id, line_id, seq, seq * 12 AS x, line_id * 40 AS y, 10 AS w,
+  CASE WHEN ch IN ('.', ',') THEN 3 WHEN ch IN ('-', '''', '"') THEN 6 WHEN unicode(ch) > 127 THEN 60 ELSE 14 + unicode(ch) % 5 END AS h, ch FROM ch WHERE ch <> '' AND ch <> ' '),
+ g AS (SELECT page_id, line_id, seq, x, y, w, h, CASE WHEN ch IN ('#', '%', '*') THEN 5 ELSE w * h END AS pixel_count FROM gl)"""
+_BLOBS = _GLYPHS + """, b AS (SELECT g.*, CASE WHEN blobs < 3 THEN 'text' WHEN pixel_count < w * h * 0.1::DOUBLE THEN 'noise' WHEN h < med * 0.25 THEN 'noise' WHEN h < med * 0.5 THEN 'small'
+  WHEN h <= med * 3 AND w <= med * 10 THEN 'text' ELSE 'large' END AS blob_type FROM g JOIN (SELECT page_id, median(h) AS med, count(*) AS blobs FROM g GROUP BY 1) USING (page_id)),
+ tx AS (SELECT * FROM b WHERE blob_type = 'text')"""
+_WORDS = _BLOBS + """, gp AS (SELECT *, lead(x) OVER (PARTITION BY page_id, line_id ORDER BY x, seq) - (x + w) AS gap FROM tx),
+ jp AS (SELECT *, lag(gap) OVER (PARTITION BY page_id, line_id ORDER BY gap NULLS LAST, x, seq) AS lower FROM gp),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY page_id, line_id ORDER BY gap - lower DESC NULLS LAST, gap) AS r FROM jp),
+ pl AS (SELECT page_id, line_id, median(w) AS med, count(gap) AS gaps, max(gap) AS most, max(CASE WHEN r = 1 THEN gap END) AS g1, max(CASE WHEN r = 1 THEN lower END) AS l1 FROM rk GROUP BY 1, 2),
+ th AS (SELECT page_id, line_id, CASE WHEN gaps <= 2 THEN med * 0.5 WHEN g1 - l1 < med * 0.3 THEN most + 1.0 ELSE (l1 + g1) / 2.0 END AS thr FROM pl),
+ op AS (SELECT gp.*, CASE WHEN lag(gap) OVER (PARTITION BY page_id, line_id ORDER BY x, seq) >= thr THEN 1 ELSE 0 END AS o FROM gp JOIN th USING (page_id, line_id)),
+ wd AS (SELECT *, sum(o) OVER (PARTITION BY page_id, line_id ORDER BY x, seq ROWS UNBOUNDED PRECEDING)::INT AS word_id FROM op)"""
+_FRAMES = "fr AS (SELECT label::BIGINT AS line_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, list_transform(embedding, lambda x: x::DOUBLE) AS logits FROM embeddings)"
+_OTSU = """, h AS (SELECT page_id, px, count(*) AS n FROM px GROUP BY 1, 2),
+ c AS (SELECT page_id, px, sum(n) OVER r AS wb, sum(n * px) OVER r AS sb, sum(n) OVER w AS total, sum(n * px) OVER w AS s FROM h WINDOW w AS (PARTITION BY page_id), r AS (PARTITION BY page_id ORDER BY px ROWS UNBOUNDED PRECEDING)),
+ v AS (SELECT page_id, px, (sb * total - s * wb)::DOUBLE * (sb * total - s * wb)::DOUBLE / (wb::DOUBLE * (total - wb)::DOUBLE) AS v FROM c WHERE wb < total),
+ ot AS (SELECT p.page_id, coalesce(o.px, 0)::INT AS threshold FROM (SELECT DISTINCT page_id FROM h) p LEFT JOIN (SELECT page_id, px FROM v QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY v DESC, px) = 1) o USING (page_id))"""
+
+
+def _text_blobs(spark, sf_dir):
+    return layout.classify(views.glyphs(spark, sf_dir)).where("blob_type = 'text'")
+
+
+def grayscale(spark, sf_dir):
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 0.6) * 200)))).alias("p"))
+    return e.select("vec_id", scalar.gray(F.col("p")[0], F.col("p")[1], F.col("p")[2]).alias("gray"))
+
+
+def histogram(spark, sf_dir):
+    return pages.histogram(views.raster(spark, sf_dir))
+
+
+def otsu_threshold(spark, sf_dir):
+    return pages.otsu(views.raster(spark, sf_dir))
+
+
+def binarized(spark, sf_dir):
+    return pages.binarize(views.raster(spark, sf_dir))
+
+
+def projection_profile(spark, sf_dir):
+    return pages.profile(views.raster(spark, sf_dir))
+
+
+def sharpness(spark, sf_dir):
+    return pages.sharpness(views.raster(spark, sf_dir))
+
+
+def black_runs(spark, sf_dir):
+    return pages.runs(pages.binarize(views.raster(spark, sf_dir)))
+
+
+def maxpool(spark, sf_dir):
+    return pages.maxpool(views.raster(spark, sf_dir), 3, 2)
+
+
+def blob_classes(spark, sf_dir):
+    return layout.classify(views.glyphs(spark, sf_dir)).select("page_id", "line_id", "seq", "blob_type")
+
+
+def words(spark, sf_dir):
+    return layout.words(_text_blobs(spark, sf_dir))
+
+
+def baselines(spark, sf_dir):
+    return layout.baselines(_text_blobs(spark, sf_dir))
+
+
+def block_boxes(spark, sf_dir):
+    return _text_blobs(spark, sf_dir).groupBy("page_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"))
+
+
+def arg_max(spark, sf_dir):
+    return views.frames(spark, sf_dir).select("line_id", "t", scalar.arg_max(F.col("logits")).alias("code"))
+
+
+def top_classes(spark, sf_dir):
+    return decode.top_n(views.frames(spark, sf_dir), 5, "logits")
+
+
+def greedy_codes(spark, sf_dir):
+    return decode.greedy(views.frames(spark, sf_dir), "logits").select("line_id", "t", "code")
+
+
+def softmax_sums(spark, sf_dir):
+    return views.frames(spark, sf_dir).select("line_id", "t", F.round(F.array_max(scalar.softmax(F.col("logits"))), 6).alias("top"))
+
+
+def sigmoid(spark, sf_dir):
+    return views.frames(spark, sf_dir).select("line_id", "t", F.round(scalar.sigmoid(F.col("logits")[0]), 6).alias("s"), scalar.relu(F.col("logits")[0]).alias("r"))
+
+
+def quantized_scale(spark, sf_dir):
+    q = views.frames(spark, sf_dir).select("line_id", "t", scalar.quantized_row(F.col("logits")).alias("q"))
+    return q.select("line_id", "t", F.round("q.scale", 9).alias("scale"), F.aggregate("q.q", F.lit(0).cast("long"), lambda a, x: a + F.abs(x)).alias("size"))
+
+
+def word_split(spark, sf_dir):
+    return views.page_words(spark, sf_dir).select("page_id", "line_id", F.size("words").alias("n_words"))
+
+
+def page_text(spark, sf_dir):
+    return decode.page_text(views.page_words(spark, sf_dir))
+
+
+def html_escape(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", scalar.escape_html(F.col("html")).alias("escaped"))
+
+
+def json_escape(spark, sf_dir):
+    return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", scalar.escape_json(F.col("text")).alias("escaped"))
+
+
+def dictionary_words(spark, sf_dir):
+    lexicon = views.table(spark, sf_dir, "benchmark").select(F.explode(scalar.split_spaces(F.lower("text"))).alias("word"))
+    tokens = views.page_words(spark, sf_dir).select("page_id", "line_id", F.posexplode("words").alias("pos", "word")).withColumn("word", F.lower("word"))
+    return decode.in_dictionary(tokens, lexicon).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def flag_bits(spark, sf_dir):
+    return views.table(spark, sf_dir, "part").select("p_partkey", scalar.flag_start_bit(F.col("p_partkey")).alias("bits"))
+
+
+_ALL = (grayscale, histogram, otsu_threshold, binarized, projection_profile, sharpness, black_runs, maxpool, blob_classes, words, baselines, block_boxes, arg_max, top_classes, greedy_codes, softmax_sums, sigmoid, quantized_scale, word_split, page_text, html_escape, json_escape, dictionary_words, flag_bits)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_PX = "greatest(0, least(255, floor((embedding[{}]::DOUBLE + 0.6) * 200)))"
+_SPLIT = "list_filter(string_split(text, ' '), lambda w: w <> '')"
+ORACLE_SQL = {
+    "grayscale": f"SELECT vec_id, floor(greatest(0.0, least(255.0, 0.299::DOUBLE * {_PX.format(1)} + 0.587::DOUBLE * {_PX.format(2)} + 0.114::DOUBLE * {_PX.format(3)})) + 0.5)::INT AS gray FROM embeddings",
+    "histogram": f"WITH {_RASTER} SELECT page_id, px, count(*) AS n FROM px GROUP BY 1, 2",
+    "otsu_threshold": f"WITH {_RASTER}{_OTSU} SELECT * FROM ot",
+    "binarized": f"WITH {_RASTER}{_OTSU} SELECT page_id, y, x, CASE WHEN px > threshold THEN 255 ELSE 0 END AS px FROM px JOIN ot USING (page_id)",
+    "projection_profile": f"WITH {_RASTER} SELECT page_id, y, count(*) FILTER (px < 128) AS n FROM px GROUP BY 1, 2",
+    "sharpness": f"WITH {_RASTER}, p AS (SELECT page_id, y, count(*) FILTER (px < 128) AS n FROM px GROUP BY 1, 2), d AS (SELECT page_id, n - lag(n) OVER (PARTITION BY page_id ORDER BY y) AS d FROM p) SELECT page_id, coalesce(sum(d * d), 0)::BIGINT AS score FROM d GROUP BY 1",
+    "black_runs": f"WITH {_RASTER}{_OTSU}, k AS (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS g FROM px JOIN ot USING (page_id) WHERE px <= threshold) SELECT page_id, y, min(x) AS x0, max(x) AS x1 FROM k GROUP BY page_id, y, g",
+    "maxpool": f"WITH {_RASTER} SELECT page_id, (y // 2)::INT AS y, (x // 3)::INT AS x, max(px) AS px FROM px GROUP BY 1, 2, 3",
+    "blob_classes": f"WITH {_BLOBS} SELECT page_id, line_id, seq, blob_type FROM b",
+    "words": f"WITH {_WORDS} SELECT page_id, line_id, word_id, min(x) AS x, min(y) AS y, max(x + w) AS \"right\", max(y + h) AS bottom, count(*) AS n_blobs FROM wd GROUP BY 1, 2, 3",
+    "baselines": f"WITH {_BLOBS}, p AS (SELECT page_id, line_id, x + w / 2.0::DOUBLE AS cx, (y + h)::DOUBLE AS cy FROM tx), s AS (SELECT page_id, line_id, count(*) AS n, sum(cx) AS sx, sum(cy) AS sy, sum(cx * cy) AS sxy, sum(cx * cx) AS sxx FROM p GROUP BY 1, 2), q AS (SELECT *, CASE WHEN n < 2 OR abs(n * sxx - sx * sx) < 1e-9 THEN 0.0::DOUBLE ELSE (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope FROM s) SELECT page_id, line_id, slope, (sy - slope * sx) / n AS intercept FROM q",
+    "block_boxes": f"WITH {_BLOBS} SELECT page_id, min(x) AS x, min(y) AS y, max(x + w) AS \"right\", max(y + h) AS bottom FROM tx GROUP BY 1",
+    "arg_max": f"WITH {_FRAMES} SELECT line_id, t, (list_position(logits, list_max(logits)) - 1)::INT AS code FROM fr",
+    "top_classes": f"WITH {_FRAMES}, e AS (SELECT line_id, t, unnest(logits) AS p, generate_subscripts(logits, 1) - 1 AS code FROM fr), r AS (SELECT *, row_number() OVER (PARTITION BY line_id, t ORDER BY p DESC, code) AS rank FROM e) SELECT line_id, t, rank, code FROM r WHERE rank <= 5",
+    "greedy_codes": f"WITH {_FRAMES}, c AS (SELECT line_id, t, (list_position(logits, list_max(logits)) - 1)::INT AS code FROM fr), b AS (SELECT *, lag(code) OVER (PARTITION BY line_id ORDER BY t) AS b FROM c) SELECT line_id, t, code FROM b WHERE code <> 0 AND (b IS NULL OR b <> code)",
+    "softmax_sums": f"WITH {_FRAMES} SELECT line_id, t, round(1.0::DOUBLE / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))), 6) AS top FROM fr",
+    "sigmoid": f"WITH {_FRAMES} SELECT line_id, t, round(1 / (1 + exp(-greatest(-88, least(88, logits[1])))), 6) AS s, greatest(logits[1], 0) AS r FROM fr",
+    "quantized_scale": f"WITH {_FRAMES}, m AS (SELECT *, list_max(list_transform(logits, lambda x: abs(x))) AS top FROM fr), s AS (SELECT *, CASE WHEN top > 0 THEN top / 127.0::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM m) SELECT line_id, t, round(scale, 9) AS scale, list_sum(list_transform(logits, lambda x: least(127, floor(abs(x / scale) + 0.5::DOUBLE))))::BIGINT AS size FROM s",
+    "word_split": f"SELECT conv_id AS page_id, turn AS line_id, len({_SPLIT})::INT AS n_words FROM conversations",
+    "page_text": f"SELECT conv_id AS page_id, string_agg(array_to_string({_SPLIT}, ' '), chr(10) ORDER BY turn, array_to_string({_SPLIT}, ' ')) AS text FROM conversations GROUP BY 1",
+    "html_escape": """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""",
+    "json_escape": r"""SELECT conv_id, turn, replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t'), chr(13), '\r') AS escaped FROM conversations""",
+    "dictionary_words": f"WITH l AS (SELECT DISTINCT unnest(list_filter(string_split(lower(text), ' '), lambda w: w <> '')) AS word FROM benchmark), t AS (SELECT lower(unnest({_SPLIT})) AS word FROM conversations) SELECT word, count(*) AS n FROM t WHERE word IN (SELECT word FROM l) GROUP BY 1",
+    "flag_bits": "SELECT p_partkey, greatest(1, floor(log2(p_partkey)) + 1)::INT AS bits FROM part",
+}
