@@ -4,8 +4,8 @@ verified by exact weighted-shingle similarity.
 Words are runs of letters and digits, lower-cased. An item of n words is compared with all windows of
 n words. A window's 64-bit SimHash over its five-word shingles comes from running bit counts. The
 index holds items by four 16-bit blocks: of a fingerprint within ``RADIUS`` of an item, at least one
-block is within RADIUS // 4 of the item's, so probing all such block values finds every item within
-the radius. Candidates are verified by weighted Jaccard (multiset) similarity of shingles.
+block is within RADIUS // 4 of the item's. A block has at most 65,536 values, so a look-up compares a block
+value with all that the index holds, and keeps the answer; it finds every item within the radius. Candidates are verified by weighted Jaccard (multiset) similarity of shingles.
 
 A window with similarity s has 2s / (1 + s) of its shingles in common with its item, so windows
 with fewer shingles known to the benchmark are not fingerprinted; this loses nothing.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,8 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 MAX_ITEM_WORDS = 5_000_000
 _WORD = re.compile(r"[^\W_]+")
 _CHUNK = 1 << 15
-
-
-def _masks(most: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(16), k)], np.uint16)
+#: Item positions kept of block values looked up before, 8 bytes each.
+KNOWN = 4_000_000
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -73,7 +70,6 @@ class Index:
 
     def __init__(self, items: list[tuple], size: int, similarity: float, radius: int) -> None:
         self.size, self.similarity, self.radius = size, similarity, radius
-        self.masks = _masks(radius // 4)
         self.ids, self.lengths, self.shingles, prints = [], [], [], []
         for item_id, text in items:
             words = word_hashes(text or "")
@@ -87,20 +83,30 @@ class Index:
         self.prints = np.array(prints, np.uint64)
         self.by_size = {k: np.unique(np.array([x for c, n in zip(self.shingles, self.lengths) if min(n, size) == k for x in c], np.uint64)) for k in {min(n, size) for n in self.lengths}}
         self.of_length = {n: set(i for i, m in enumerate(self.lengths) if m == n) for n in set(self.lengths)}
-        self.blocks = [(o := np.argsort(v, kind="stable"), v[o]) for v in (((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16) for b in range(4))]
+        self.blocks, self.known, self.held = [], {}, 0
+        for b in range(4):
+            values = ((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+            order = np.argsort(values, kind="stable")
+            keys, starts = np.unique(values[order], return_index=True)
+            self.blocks.append((order, keys, np.append(starts, len(order))))
 
     def within(self, fp: np.uint64) -> np.ndarray:
         """Positions of the items within the radius of fp."""
         found = []
-        for b, (order, keys) in enumerate(self.blocks):
-            near = self.masks ^ np.uint16((int(fp) >> (16 * b)) & 0xFFFF)
-            lo, hi = np.searchsorted(keys, near, "left"), np.searchsorted(keys, near, "right")
-            some = hi > lo
-            found += [order[x:y] for x, y in zip(lo[some], hi[some])]
-        if not found:
-            return np.empty(0, np.int64)
-        at = np.unique(np.concatenate(found))
-        return at[np.bitwise_count(self.prints[at] ^ fp) <= self.radius]
+        for b, (order, keys, starts) in enumerate(self.blocks):
+            value = (int(fp) >> (16 * b)) & 0xFFFF
+            near = self.known.get((b, value))
+            if near is None:
+                at = np.nonzero(np.bitwise_count(keys ^ np.uint16(value)) <= self.radius // 4)[0]
+                near = np.concatenate([order[starts[i] : starts[i + 1]] for i in at.tolist()]) if len(at) else order[:0]
+                if self.held + len(near) > KNOWN:
+                    self.known.clear()
+                    self.held = 0
+                self.known[b, value] = near
+                self.held += len(near) + 16
+            if len(near):
+                found.append(near[np.bitwise_count(self.prints[near] ^ fp) <= self.radius])
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
     def matches(self, text: str) -> dict:
         """{item position: (similarity, first word of the best window)}."""
