@@ -8,7 +8,7 @@ block is within RADIUS // 4 of the item's. A block has at most 65,536 values, so
 value with all that the index holds, and keeps the answer; it finds every item within the radius. Candidates are verified by weighted Jaccard (multiset) similarity of shingles.
 
 A window with similarity s has 2s / (1 + s) of its shingles in common with its item, so windows
-with fewer shingles known to the benchmark are not fingerprinted; this loses nothing.
+with fewer shingles known to the benchmark's items of their length are not fingerprinted; this loses nothing.
 
 The items are broadcast; ``MAX_ITEM_WORDS`` bounds them, a larger benchmark is run in parts. Items and
 texts that are null or have no words match nothing; items under five words are one shingle of
@@ -83,6 +83,7 @@ class Index:
         self.prints = np.array(prints, np.uint64)
         self.by_size = {k: np.unique(np.array([x for c, n in zip(self.shingles, self.lengths) if min(n, size) == k for x in c], np.uint64)) for k in {min(n, size) for n in self.lengths}}
         self.of_length = {n: set(i for i, m in enumerate(self.lengths) if m == n) for n in set(self.lengths)}
+        self.of_length_known = {n: np.unique(np.array([x for i in at for x in self.shingles[i]], np.uint64)) for n, at in self.of_length.items()}
         self.blocks, self.known, self.held = [], {}, 0
         for b in range(4):
             values = ((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -119,9 +120,13 @@ class Index:
             hit = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
             if not hit.any():
                 continue
-            hits = np.concatenate(([0], np.cumsum(hit)))
+            places = np.nonzero(hit)[0]
             for length in [n for n in self.of_length if min(n, self.size) == size and n <= len(words)]:
                 n = length - size + 1
+                own = self.of_length_known[length]
+                hit = np.zeros(len(s), bool)
+                hit[places] = own[np.minimum(np.searchsorted(own, s[places]), len(own) - 1)] == s[places]
+                hits = np.concatenate(([0], np.cumsum(hit)))
                 need = int(np.ceil(n * 2 * self.similarity / (1 + self.similarity) - 1e-9))
                 starts = np.nonzero(hits[n:] - hits[:-n] >= need)[0]
                 for at in range(0, len(starts), _CHUNK):
