@@ -14,7 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of the smallest id."""
+    """One document of each group linked by five-word similarity of 0.8 or more stays, that of the smallest id."""
     return simhash.keep_one(docs)
 
 

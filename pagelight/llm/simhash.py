@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from pagelight.llm.common import materialize, text_batches
 from pagelight.llm.components import connected_components
+from pagelight.llm.overlap import near_copies
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Distinct fingerprints that shape the tree, and about how many a leaf holds.
@@ -272,8 +273,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The row of each group's smallest doc_id; of repeated rows with that id, one. Rows without an id pass."""
-    found = near_duplicates(docs, **options).where("id is not null")
+    """The row of each group's smallest doc_id; of repeated rows with that id, one. Rows without an id pass.
+    Groups are linked by shingle similarity (`overlap`), not by fingerprints, which can't tell it exactly."""
+    found = near_copies(docs, **options)
     decision = found.groupBy(F.col("id").alias("_id")).agg(F.min("component").alias("_keep"), F.count("*").alias("_n"))
     decision = materialize(decision.where("_id = _keep").select("_id", "_n"), "near-dup-kept")
     kept = docs.join(decision, docs["doc_id"] == decision["_id"])

@@ -88,6 +88,34 @@ def test_simhash_awkward(spark, awkward):
     assert simhash.near_duplicates(empty(awkward)).count() == 0
 
 
+def brute_kept(texts):
+    """Ids left when groups linked by five-word Jaccard similarity of 0.8 or more keep their smallest."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    best = {i: i for i in texts}
+    sizes = {i: len(s) for i, s in sets.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])]
+    links = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    while any(best[a] != best[b] for a, b in links):
+        for a, b in links:
+            best[a] = best[b] = min(best[a], best[b])
+    return {i for i in texts if best[i] == i}
+
+
+def test_pipeline_keeps_one_of_near_copies(spark, sf01):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    made = {}
+    for i in range(60):  # near copies of one text, chains of them, and texts that share a line only
+        w = [*base]
+        w[i % 50] = f"x{i}"
+        made[50_000 + i] = " ".join(w if i < 40 else [f"own{i}_{k}" for k in range(12)] + base[:25])
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
+    want = brute_kept({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf01).collect()} == want
+
+
 def brute_leaks(text, items):
     words, out = re.findall(r"[^\W_]+", (text or "").lower()), {}
     from collections import Counter
