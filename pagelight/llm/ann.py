@@ -6,7 +6,7 @@
 2. Each vector goes to its closest list; near a boundary also to others whose distance is within
    ``REPLICATE`` of it, ``COPIES`` at most. Every vector is in at least one list.
 3. A query searches the lists whose centroid distance is within ``PRUNE`` of its closest one's,
-   ``PROBES`` at most.
+   ``PROBES`` at most. A query that gets fewer than k answers that way is compared with all rows, in blocks.
 4. Lists are dealt in parts by a hash of the id, each part of about ``PART`` vectors, with the list's queries sent
    to each part, so that a hot list is many tasks. Parts return their best k per query, and those are merged.
 
@@ -168,4 +168,16 @@ def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", ve
     # replicas of a candidate fall together; at most probes * parts * k rows a query
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = materialize(once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-best")
+    # queries whose lists held too little: exact search. Of repeated ids, the answers go to the id
+    full = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = materialize(ok.where(F.col("q") & sized).select("id", "v").join(full, "id", "left_anti"), "ann-short")
+    if short.isEmpty():
+        return best
+    blocks = spark.sparkContext.defaultParallelism
+    dealt = groups.where(sized).withColumn("list", F.lit(0)).withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(max(blocks, n // PART))).cast("int"))
+    everywhere = short.select(F.col("id").alias("query_id"), "v").withColumn("list", F.lit(0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, n // PART) - 1))))
+    exact = everywhere.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
+    exact = exact.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kept = best.join(full.withColumnRenamed("id", "query_id"), "query_id", "leftsemi")
+    return kept.unionByName(exact.select("query_id", "rank", "vec_id", "score"))

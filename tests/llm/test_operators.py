@@ -299,6 +299,17 @@ def test_ann_recall(spark, sf01):
     assert hit / (10 * len(got)) >= 0.9
 
 
+def test_ann_far_off_queries_get_all_answers(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(2000, 8))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[0] *= 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    d = np.sqrt(((m - m[0]) ** 2).sum(axis=1))
+    assert got == [int(i) for i in np.argsort(d, kind="stable") if i][:10]
+
+
 def test_ann_awkward(spark):
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, float("nan")]), (5, [0.0, 1.0]), (6, [1.0, None]), (None, [1.0, 1.0]), (7, [1.0, 0.0])]
     df = spark.createDataFrame([(*x, 1) for x in v], "vec_id long, embedding array<float>, list int")
