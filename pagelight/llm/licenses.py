@@ -31,15 +31,15 @@ TEMPLATES = {
     "apache": ["licensed under the apache license version 2.0", "spdx-license-identifier apache-2.0", "you may not use this file except in compliance with the license"],
     "mit": ["released under the mit license", "licensed under the mit license", "spdx-license-identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
     "gpl": ["this work is licensed under the gnu general public license version 3", "redistribute it and or modify it under the terms of the gnu general public license", "spdx-license-identifier gpl-3.0-or-later"],
-    "lgpl": ["licensed under the gnu lesser general public license version 3", "spdx-license-identifier lgpl-3.0-or-later"],
-    "agpl": ["licensed under the gnu affero general public license version 3", "spdx-license-identifier agpl-3.0-or-later"],
+    "lgpl": ["licensed under the gnu lesser general public license version 3", "redistribute it and or modify it under the terms of the gnu lesser general public license", "spdx-license-identifier lgpl-3.0-or-later"],
+    "agpl": ["licensed under the gnu affero general public license version 3", "redistribute it and or modify it under the terms of the gnu affero general public license", "spdx-license-identifier agpl-3.0-or-later"],
     "bsd": ["licensed under the bsd 3-clause license", "spdx-license-identifier bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted"],
     "mpl": ["subject to the terms of the mozilla public license v. 2.0", "spdx-license-identifier mpl-2.0"],
     "cc-by": ["licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"],
     "cc-by-sa": ["licensed under cc by-sa 4.0", "licensed under a creative commons attribution-sharealike 4.0 international license"],
     "cc-by-nc": ["licensed under cc by-nc 4.0", "licensed under a creative commons attribution-noncommercial 4.0 international license"],
     "cc0": ["dedicated to the public domain under cc0 1.0", "spdx-license-identifier cc0-1.0"],
-    "proprietary": ["all rights reserved no part of this work may be reproduced without permission"],
+    "proprietary": ["all rights reserved", "all rights reserved no part of this work may be reproduced without permission"],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
 ANCHOR = r"(?i)licen[sc]|copyright|spdx|permission|redistribut|all rights reserved|public domain|creative commons"

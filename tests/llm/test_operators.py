@@ -195,6 +195,18 @@ def test_licenses(spark):
     assert licenses.scan(empty(df)).count() == 0
 
 
+def test_license_notices_of_the_documents(spark):
+    lines = [
+        ("All rights reserved.", "proprietary"), ("Copyright 2020 Some Name. All rights reserved.", "proprietary"), ("Released under the MIT License.", "mit"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under the Apache License, Version 2.0.", "apache"),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"), ("it under the terms of the GNU Lesser General Public License", "lgpl"),
+        ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"), ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "agpl"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in licenses.scan(df).collect()}
+    assert got == {i: f for i, (_, f) in enumerate(lines)}
+
+
 def test_toxicity_held_out(spark, sf01):
     docs, labels = spark.read.parquet(f"{sf01}/documents.parquet"), spark.read.parquet(f"{sf01}/labels.parquet")
     got = toxicity.score(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").where("held_out").collect()
