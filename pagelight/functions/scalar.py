@@ -56,8 +56,12 @@ def escape_html(text):
     return text
 
 
+#: Control characters without a short escape.
+_CONTROLS = tuple((chr(i), f"\\u{i:04X}") for i in range(0x20) if chr(i) not in "\n\t\r\b\f")
+
+
 def escape_json(text):
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("\b", "\\b"), ("\f", "\\f")):
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("\b", "\\b"), ("\f", "\\f"), *_CONTROLS):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 

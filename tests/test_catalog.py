@@ -1,9 +1,13 @@
 """Each registered query with SQL gives what DuckDB gives on the same tables."""
 
+import json
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pagelight.functions import scalar
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,3 +32,10 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_json_escape_of_control_characters(spark):
+    text = "".join(map(chr, range(0x30))) + "\\ é"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = df.select(scalar.escape_json(F.col("text"))).first()[0]
+    assert json.loads(f'"{got}"') == text and "\\u0000" in got and "\\u001F" in got
