@@ -50,7 +50,7 @@ def features(text: str, learned: frozenset = frozenset()) -> list[float]:
     chars = max(len(text), 1)
     return [
         seed / n, float(len(seed_kinds)), own / n, float(len(own_kinds)), near / n, second / n,
-        sum(map(str.isupper, text)) / chars if len(text) < 4096 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text)) / chars,
+        sum(map(str.isupper, text)) / chars,
         (text.count("!") + text.count("?")) / chars, (text.count(".") + text.count(",")) / chars,
         len(masked) / n, float(hidden), float(np.log1p(len(words))),
     ]

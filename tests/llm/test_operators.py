@@ -215,6 +215,11 @@ def test_toxicity_held_out(spark, sf01):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_toxicity_capitals_count_alike_at_all_lengths():
+    for text in ("ΑΒΓδ ", "АБВг ", "ĀĂĄā ", "ABCd "):
+        assert toxicity.features(text * 2000)[6] == toxicity.features(text)[6] == 0.6
+
+
 def test_toxicity_awkward(spark, awkward):
     labels = spark.createDataFrame([(1, 1, None), (1, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.score(awkward, toxicity.learn(awkward, labels))
