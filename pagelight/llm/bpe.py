@@ -17,8 +17,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import text_batches
-
 #: The published byte-level pre-token pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE, CACHED_LENGTH = 200_000, 40
@@ -166,7 +164,6 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
 
 def _run(docs, path, id_col, text_col, fields, columns) -> DataFrame:
-    text_batches(docs.sparkSession)
     path = path or default_path()
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, *[f.split()[0] for f in fields.split(", ")]]

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import materialize
+from pagelight.llm.common import Scratch, materialize
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(run: Scratch, edges: DataFrame) -> DataFrame:
     """For each edge (u, v): v linked to the smallest of u's neighbours and u. edges is written."""
-    least = materialize(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-min")
+    least = run.write(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
     return edges.join(least, "u").select("u", "v", "m")
 
 
@@ -24,25 +24,29 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges(u, v) of any orderable type to (node, component): the smallest node reachable.
+    """edges(u, v) of any orderable type to (node, component), written: the smallest node reachable.
 
-    Nulls, self-loops and repeated edges are ignored; nodes without an edge to another don't appear.
+    Nulls, self-loops and repeated edges are ignored; nodes without an edge to another don't appear; no edges give
+    an empty table.
     """
-    down = materialize(_oriented(edges.where("u is not null and v is not null")), "cc-edges")
-    for _ in range(max_rounds):
-        if down.isEmpty():
-            break
-        both = materialize(down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v"))), "cc-both")
-        # large star: larger neighbours move to the smallest of the neighbourhood
-        large = materialize(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        # small star: each node's smaller neighbours, and itself, move to the smallest of them
-        s = _star(large)
-        small = s.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(s.select("u", F.col("m").alias("v")))
-        after = materialize(small.where("u > v").distinct(), "cc-small")
-        changed = not down.exceptAll(after).isEmpty() or not after.exceptAll(down).isEmpty()
-        down = after
-        if not changed:
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    return down.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(down.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with Scratch(edges.sparkSession, "components") as run:
+        down = run.write(_oriented(edges.where("u is not null and v is not null")), "edges")
+        for _ in range(max_rounds):
+            if down.isEmpty():
+                break
+            both = run.write(down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+            # large star: larger neighbours move to the smallest of the neighbourhood
+            large = run.write(_star(run, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            # small star: each node's smaller neighbours, and itself, move to the smallest of them
+            s = _star(run, large)
+            small = s.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(s.select("u", F.col("m").alias("v")))
+            after = run.write(small.where("u > v").distinct(), "small")
+            changed = not down.exceptAll(after).isEmpty() or not after.exceptAll(down).isEmpty()
+            run.drop(both, large, down)
+            down = after
+            if not changed:
+                break
+        else:
+            raise RuntimeError("connected components did not settle")
+        found = down.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return materialize(found.unionByName(down.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "component-labels")

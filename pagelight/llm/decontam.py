@@ -26,8 +26,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import text_batches
-
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 MAX_ITEM_WORDS = 5_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -162,7 +160,6 @@ def index_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id_col, item_id, similarity, window_start): the best window of each document and item that reach the similarity."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index_of(benchmark, **options))
     kind = docs.schema[id_col].dataType
     item = benchmark.schema["item_id"].dataType.simpleString()
@@ -184,7 +181,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs in which no item is found, all columns as they are."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index_of(benchmark, **options))
     at = docs.columns.index(text_col)
 

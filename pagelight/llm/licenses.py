@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import ascii_lower
+from pagelight.llm.common import COMMON_WORDS, ascii_lower
 
 CONFIDENT, CONFIRMED = 0.5, 0.6
 #: Notices by family (fixed texts of the licences' own notices).
@@ -43,7 +43,6 @@ TEMPLATES = {
 }
 FAMILIES = [*TEMPLATES, "unknown"]
 ANCHOR = r"(?i)licen[sc]|copyright|spdx|permission|redistribut|all rights reserved|public domain|creative commons"
-_PROSE = "the of and to a in is it you that he was for on are with as his they be at one have this from or had by but some what there we can out other were all your when up use word how said an each she which do their time if will way about many then them would write like so these her long make thing see him two has look more day could go come did my sound no most number who over know water than call first people may down side been now find".split()
 _DISTRACT = ["the license plate of the car", "a driving license is required", "copyright law in history", "ask for permission before you go", "redistribution of wealth", "she has a poetic licence", "license fees went up"]
 
 
@@ -58,7 +57,7 @@ def features_of(words: list[str]) -> set[str]:
 def train(seed: int = 5, per_template: int = 40, rounds: int = 300) -> tuple[dict[str, list[float]], list[float]]:
     """(weights by feature, intercepts), already divided by the calibration temperature."""
     rng = random.Random(seed)
-    prose = lambda n: rng.choices(_PROSE, k=n)
+    prose = lambda n: rng.choices(COMMON_WORDS, k=n)
     rows = []
     for family, texts in TEMPLATES.items():
         for t in texts:

@@ -1,19 +1,22 @@
-"""Near copies by shingle similarity, linked exactly by a prefix-filtered join.
+"""Near copies by shingle similarity: candidates from SimHash fingerprints and from rare shingles, all verified exactly.
 
 Two texts are linked where the Jaccard similarity of their sets of five-word shingles reaches ``SIMILARITY``. A
-fingerprint of 64 bits can't tell that without loss, so shingles themselves are joined:
-
-1. A text's set is hashed to a node; equal sets are one node. Shingles are put in one order for all texts, common
-   ones last. Sets of n that reach the similarity share a shingle among the first n - ceil(s n) + 1 of both, the smaller
-   of the two (of n) even among its first n - ceil(2s / (1 + s) n) + 1. Which shingles count as common comes from a bounded
-   sample (``SAMPLE``, ``COMMON``); it decides about the work only, since any order gives the same links.
-2. Each node is compared with the smallest node of each shingle of its prefix, and those that are similar are joined to
-   components. So a large group of near copies falls together without its pairs.
-3. Pairs of different components that share a prefix shingle are compared; nothing is dropped.
+fingerprint of 64 bits can't tell that without loss, so it only proposes; a prefix-filtered join finds the rest:
+
+1. A text's set is hashed to a node; equal sets are one node.
+2. Fingerprints of the sets are linked through the vantage-point trees of `simhash`, and each node is compared with two
+   nodes of each shingle of its prefix (see 3), the smallest and one drawn by a hash of both. Those pairs that are similar are joined to components, so a large group
+   of near copies falls together without its pairs.
+3. Shingles are put in one order for all texts, common ones last. Sets of n that reach the similarity share a shingle
+   among the first n - ceil(s n) + 1 of both, the smaller of the two (of n) even among its first
+   n - ceil(2s / (1 + s) n) + 1. Pairs of different components that share such a shingle are compared; nothing is dropped.
+   Which shingles count as common comes from a bounded sample (``SAMPLE``, ``COMMON``); it decides about the
+   work only, since any order gives the same links.
 
 Before sets are compared, counts of their shingles in ``CELLS`` cells bound what they can have in common; that
-spares most pairs the comparison and loses none. Every comparison is of the whole sets. A text under five words is one shingle of its own length; null and blank texts have
-the empty set and are linked with each other. Words are those of the fingerprints (ASCII-lower-cased, by white space).
+spares most pairs the comparison and loses none. Every comparison is of the whole sets. A text under five words is one
+shingle of its own length; null and blank texts have the empty set and are linked with each other. Words are those of
+the fingerprints (ASCII-lower-cased, by white space).
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import materialize, text_batches
+from pagelight.llm import bitsets
+from pagelight.llm.common import Scratch, materialize, quoted
 from pagelight.llm.components import connected_components
 
-SHINGLE, SIMILARITY = 5, 0.8
+SHINGLE, SIMILARITY, PROPOSE = 5, 0.8, 3
 #: Texts that the order of shingles is taken from, how many common ones it has, and in how many texts those are.
 SAMPLE, COMMON, OFTEN = 4096, 65536, 4
-#: Cells of a set's counts. Up to so many texts to compare are named to all executors; more are joined by a shuffle.
-CELLS, NAMED = 256, 1_000_000
+#: Cells of a set's counts.
+CELLS = 256
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -48,26 +52,32 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
 
 
-def _sets(docs: DataFrame, size: int, id_col: str, text_col: str, schema: str, row) -> DataFrame:
-    """mapInArrow over texts: row(id, set) gives a row's values after the id."""
-    names = ["id", *[f.split()[0] for f in schema.split(", ")]]
-    kinds = [{"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[f.split()[1]] for f in schema.split(", ")]
+def _fingerprint(s: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 16):
+        ones += np.unpackbits(s[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view(np.int64)[0])
+
+
+def _sets(rows: DataFrame, size: int, schema: str, row) -> DataFrame:
+    """mapInArrow over rows(id, key, t): row(set) gives a row's values after id and key."""
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[k] for _, k in fields]
 
     def run(batches):
         for b in batches:
-            made = [row(shingles(t.as_py() or b"", size)) for t in b.column(1).cast(pa.binary())]
+            made = [row(shingles(t.as_py() or b"", size)) for t in b.column(2).cast(pa.binary())]
             columns = [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "key", *[n for n, _ in fields]])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, {schema}")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, {schema}")
 
 
-def _common(docs: DataFrame, size: int, id_col: str, text_col: str) -> np.ndarray:
+def _common(rows: DataFrame, size: int) -> np.ndarray:
     """Shingles found in several texts of a sample, the most common last."""
-    every = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0)
-    found = _sets(sample, size, id_col, text_col, "s array<long>", lambda s: (s,)).select(F.explode("s").alias("h")).groupBy("h").count()
+    every = max(1, rows.count() // SAMPLE)
+    sample = rows.where(F.pmod(F.xxhash64("id", "key"), F.lit(every)) == 0)
+    found = _sets(sample, size, "s array<long>", lambda s: (s,)).select(F.explode("s").alias("h")).groupBy("h").count()
     top = found.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
     return top.column("h").to_numpy()[::-1]
 
@@ -81,10 +91,19 @@ def _fits(similarity: float):
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component) of the rows with an id: component is the smallest id reachable over similar texts."""
-    text_batches(docs.sparkSession)
-    docs = docs.where(F.col(id_col).isNotNull())
-    common = _common(docs, size, id_col, text_col)
+    """(id, key, n, component, kept) of the rows with an id, one for each id and text (key is the text's hash, n the number of
+    such rows), written. component is the smallest id reachable over similar texts; kept holds for one id and text of
+    each component, the smallest."""
+    with Scratch(docs.sparkSession, "copies") as run:
+        return materialize(_linked(run, docs, id_col, text_col, size, similarity), "near-copies")
+
+
+def _linked(run: Scratch, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    from pagelight.llm.simhash import link_fingerprints
+
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    rows = docs.where(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("key"), text.alias("t"))
+    common = _common(rows, size)
     shared = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable")))
 
     def prefix(s: np.ndarray) -> tuple:
@@ -94,20 +113,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         often = names[at] == s if len(names) else np.zeros(n, bool)
         order = np.concatenate((s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]))
         cells = np.minimum(np.bincount(s & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8)  # 255: or more
-        return _node(s), n, cells.tobytes(), order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        return _node(s), _fingerprint(s), n, cells.tobytes(), order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
-    own = materialize(_sets(docs, size, id_col, text_col, "node long, n long, cells binary, prefix array<long>", prefix), "copies")
-    tokens = own.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "token"))
-    several = materialize(tokens.groupBy("token").count().where("count > 1").select("token"), "copies-shared")
-    members = materialize(tokens.join(several, "token").select("token", "node", "n", "p").distinct(), "copies-members")
-
-    counts = materialize(own.groupBy("node").agg(F.min("id").alias("id"), F.first("cells").alias("cells")), "copies-counts")
-    least = counts.select("node", "id")
+    own = run.write(_sets(rows, size, "node long, fp long, n long, cells binary, prefix array<long>", prefix), "sets")
+    nodes = own.groupBy("node").agg(F.min(F.struct("id", "key")).alias("top"), F.first("fp").alias("fp"), F.first("n").cast("int").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix"))
+    nodes = run.write(nodes, "nodes")
+    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("p", "token"))
+    several = run.write(tokens.groupBy("token").count().where("count > 1").select("token"), "shared")
+    members = run.write(tokens.join(several, "token").select("token", "node", "n", "p"), "members")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b), written, whose sets reach the similarity, as edges (u, v)."""
-        x = counts.select(F.col("node").alias("a"), F.col("cells").alias("x"))
-        y = counts.select(F.col("node").alias("b"), F.col("cells").alias("y"))
+        """The pairs (a, b) whose sets reach the similarity, as edges (u, v)."""
+        x = nodes.select(F.col("node").alias("a"), F.col("cells").alias("x"))
+        y = nodes.select(F.col("node").alias("b"), F.col("cells").alias("y"))
 
         def possible(batches):
             for t in batches:
@@ -116,14 +134,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep = (most >= similarity / (1 + similarity) * (p.sum(axis=1) + q.sum(axis=1)) - 1e-9) | (p.max(axis=1) == 255) | (q.max(axis=1) == 255)
                 yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-        pairs = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(possible, "a long, b long"), "copies-possible")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(least.join(nodes, "node").select(F.col("id").alias("_id")).distinct(), "copies-wanted")
-        if wanted.count() <= NAMED:
-            wanted = F.broadcast(wanted)
-        source = docs.join(wanted, docs[id_col] == F.col("_id"), "leftsemi")
-        sets = _sets(source, size, id_col, text_col, "node long, s array<long>", lambda s: (_node(s), s))
-        sets = materialize(sets.dropDuplicates(["node"]).select("node", "s"), "copies-sets")
+        pairs = run.write(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(possible, "a long, b long"), "possible")
+        ends = run.write(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+        tops = nodes.join(ends, "node").select(F.col("top.id").alias("id"), F.col("top.key").alias("key"))
+        at = bitsets.slot(F.col("id"), F.col("key"))
+        held = run.write(bitsets.of_slots(tops, at), "wanted")
+        # a superset of the texts to compare; the others find no pair
+        wanted = bitsets.with_hit(rows, held, at, "hit").where("hit").select("id", "key", "t")
+        sets = _sets(wanted, size, "node long, s array<long>", lambda s: (_node(s), s)).select("node", "s")
+        sets = run.write(sets.join(ends, "node", "leftsemi").dropDuplicates(["node"]), "compared")
 
         def compare(batches):
             for t in batches:
@@ -136,32 +155,41 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         x = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-        found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
-        return materialize(found, "copies-links")
-
-    # each node with the smallest one of each of its shingles
-    lowest = members.groupBy("token").agg(F.min(F.struct("node", "n", "p")).alias("y"))
-    lowest = materialize(lowest.select("token", F.col("y.node").alias("b"), F.col("y.n").alias("bn"), F.col("y.p").alias("bp")), "copies-lowest")
+        links = run.write(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "u long, v long"), "links")
+        run.drop(pairs, sets)
+        return links
+
+    # what the fingerprints propose, and each node with two of each of its shingles
+    least = run.write(nodes.groupBy("fp").agg(F.min("node").alias("b")), "fingerprints")
+    close = run.write(link_fingerprints(least.select("fp"), PROPOSE), "close")
+    ends = least.select(F.col("fp").alias("u"), F.col("b").alias("a")), least.select(F.col("fp").alias("v"), "b")
+    proposed = close.join(ends[0], "u").join(ends[1], "v").select("a", "b").unionByName(nodes.join(least, "fp").select(F.col("node").alias("a"), "b").where("a <> b"))
+    spread = F.struct(F.xxhash64("token", "node").alias("h"), "node", "n", "p")
+    centres = members.groupBy("token").agg(F.array(F.min(F.struct(F.lit(0).cast("long").alias("h"), "node", "n", "p")), F.min(spread)).alias("y"))
+    centres = centres.select("token", F.explode(F.array_distinct(F.transform("y", lambda c: F.struct(c["node"].alias("b"), c["n"].alias("bn"), c["p"].alias("bp"))))).alias("y"))
+    centres = run.write(centres.select("token", "y.*"), "centres")
     x = members.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"))
-    star = materialize(x.join(lowest, "token").where((F.col("a") != F.col("b")) & _fits(similarity)).select("a", "b").distinct(), "copies-star")
-    links = similar(star)
-    grouped = materialize(connected_components(links), "copies-grouped")
+    star = x.join(centres, "token").where((F.col("a") != F.col("b")) & _fits(similarity)).select("a", "b")
+    both = proposed.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = similar(run.write(both, "proposed"))
+    grouped = connected_components(links)
     labelled = members.join(grouped.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    labelled = materialize(labelled.select("token", "node", "n", "p", F.coalesce("component", "node").alias("label")), "copies-labelled")
+    labelled = run.write(labelled.select("token", "node", "n", "p", F.coalesce("component", "node").alias("label")), "labelled")
     # then all pairs between groups
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    rest = materialize(labelled.join(mixed, "token"), "copies-mixed")
+    rest = run.write(labelled.join(mixed, "token"), "mixed")
     first = F.col("n") - F.col("p") >= 2 * similarity / (1 + similarity) * F.col("n") - 1e-9
     x = rest.where(first).select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("label").alias("al"))
     y = rest.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("label").alias("bl"))
     smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
     pairs = x.join(y, "token").where((F.col("al") != F.col("bl")) & smaller & _fits(similarity)).select("a", "b").distinct()
-    links = links.unionByName(similar(materialize(pairs, "copies-pairs")))
-    labels = materialize(connected_components(links), "copies-labels")
-
-    groups = least.withColumnRenamed("id", "least")
-    named = groups.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("label"), "least")
-    named = materialize(named, "copies-named")
-    first = materialize(named.groupBy("label").agg(F.min("least").alias("component")), "copies-first")
-    named = materialize(named.join(first, "label").select("node", "component"), "copies-components")
-    return own.select("id", "node").join(named, "node").select("id", "component")
+    links = links.unionByName(similar(run.write(pairs, "pairs")))
+    labels = connected_components(links)
+
+    named = nodes.select("node", "top").join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "top", F.coalesce("component", "node").alias("label"))
+    named = run.write(named, "named")
+    first = run.write(named.groupBy("label").agg(F.min("top").alias("first")), "first")
+    named = run.write(named.join(first, "label").select("node", "first"), "components")
+    each = own.groupBy("id", "key").agg(F.count("*").alias("n"), F.first("node").alias("node"))
+    each = each.join(named, "node")
+    return each.select("id", "key", "n", F.col("first.id").alias("component"), ((F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("kept"))

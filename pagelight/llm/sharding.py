@@ -6,7 +6,8 @@ shares differ by one slot at most, and adding or removing a shard moves few slot
 ``slots`` entries whatever the data, so broadcasting it is bounded; a key's slot is its hash modulo
 the table's size. Rows are placed one by one: no key, hot or not, is shuffled.
 
-A null key is placed like the empty string; equal keys share a shard; other columns are kept.
+A null key is placed like the empty string; equal keys share a shard; other columns are kept, whatever
+their names; a key of any length is hashed whole; an empty table gives an empty one with the two columns.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelight.llm.common import quoted, unused
+
 #: A prime, over a hundred slots for each shard.
 SLOTS, SHARDS = 4099, 32
 
@@ -48,16 +51,19 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
-def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFrame:
+def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """(slot_col, shard_col): one row for each slot."""
     names = F.split(F.lit("\n".join(shards)), "\n")
-    placed = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",")).alias("_slot", "_at"))
-    return placed.select("_slot", F.element_at(names, F.col("_at").cast("int") + 1).alias("_shard"))
+    placed = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",")).alias("at", "number"))
+    return placed.select(F.col("at").alias(slot_col), F.element_at(names, F.col("number").cast("int") + 1).alias(shard_col))
 
 
 def place(df: DataFrame, key: str, shards: list[str] | int = SHARDS, slots: int = SLOTS, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
-    """df with slot_col and shard_col added (in place of columns of those names)."""
+    """df with slot_col and shard_col added at its end (in place of columns of those names, case aside)."""
     if isinstance(shards, int):
         shards = [f"shard-{i:05d}" for i in range(shards)]
-    keyed = df.withColumn(slot_col, slot_of(F.col(key), slots)).drop(*({shard_col} - {slot_col}))
-    table = F.broadcast(lookup_table(df.sparkSession, shards, slots))
-    return keyed.join(table, F.col(slot_col) == table["_slot"], "left").drop("_slot").withColumnRenamed("_shard", shard_col)
+    kept = [c for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
+    own_slot, slot, shard = unused([*df.columns, slot_col, shard_col], "_own_slot", "_slot", "_shard")
+    keyed = df.withColumn(own_slot, slot_of(F.col(quoted(key)), slots))
+    found = keyed.join(F.broadcast(lookup_table(df.sparkSession, shards, slots, slot, shard)), F.col(own_slot) == F.col(slot), "left")
+    return found.select(*[F.col(quoted(c)) for c in kept], F.col(own_slot).alias(slot_col), F.col(shard).alias(shard_col))

@@ -4,8 +4,9 @@ A document's fingerprint has a bit set where over half of its shingle hashes hav
 not documents, are linked: exact copies share one, so a group of copies of any size is one point.
 
 1. Fingerprints are computed once and written; distinct ones are counted with map-side combining.
-2. The top of a vantage-point tree is built on the driver from a bounded sample of distinct
-   fingerprints (``SAMPLE``). A node holds a vantage point and a radius; a point goes inside or
+2. The top of a vantage-point tree is built on the driver from a sample of distinct fingerprints, ``EACH`` for
+   each leaf, so that it splits evenly however deep it is; ``DEPTH`` bounds both (a million fingerprints, 65,536 leaves), and
+   beyond four billion fingerprints leaves grow instead. A node holds a vantage point and a radius; a point goes inside or
    outside by its Hamming distance to the vantage point. The sample shapes the tree, not the result.
 3. Every fingerprint goes to its home leaf. By the triangle inequality, a pair within ``radius``
    that a node separates has both distances near the node's radius: the inside one of such a pair
@@ -32,15 +33,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import materialize, text_batches
+from pagelight.llm import bitsets
+from pagelight.llm.common import Scratch, materialize, quoted, unused
 from pagelight.llm.components import connected_components
 from pagelight.llm.overlap import near_copies
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-#: Distinct fingerprints that shape the tree, and about how many a leaf holds.
-SAMPLE, LEAF = 8192, 65536
+#: Distinct fingerprints that shape the tree (at least, and for each leaf), about how many a leaf holds, and the levels at most.
+SAMPLE, EACH, LEAF, DEPTH = 8192, 16, 65536, 16
 #: In a leaf, sides up to this size are compared directly.
 BLOCK = 384
+#: Vantage points tried there for an even cut before a side is compared as it is.
+TRIES = 6
 _CHUNK = 1 << 16
 
 
@@ -69,7 +73,6 @@ def _text_bytes(column) -> Iterator[bytes]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -198,16 +201,26 @@ def link_leaf(fps: np.ndarray, visitor: np.ndarray, radius: int) -> tuple[np.nda
         near = d <= mu
         return x[near], x[~near], x[near & (d > mu - radius)], x[~near & (d <= mu + radius)]
 
-    def stuck(*parts) -> bool:
-        return max(map(len, parts)) > 0.95 * sum(map(len, parts))
+    def cut(x: np.ndarray) -> tuple[np.uint64, int, float]:
+        """A vantage point among x, the radius that halves x most evenly, and the share of its larger side."""
+        best = (np.uint64(0), 0, 1.0)
+        for k in range(TRIES):
+            v = fps[x[(2 * k + 1) * len(x) // (2 * TRIES)]]
+            inside = np.cumsum(np.bincount(np.bitwise_count(fps[x] ^ v), minlength=65)) / len(x)
+            share = np.maximum(inside, 1 - inside)
+            mu = int(np.argmin(share))
+            if share[mu] < best[2]:
+                best = (v, mu, float(share[mu]))
+            if best[2] < 0.7:
+                break
+        return best
 
     def within(x: np.ndarray) -> None:
         if len(x) <= BLOCK:
             return compare(x, x, True)
-        v = fps[x[len(x) // 2]]
-        d = np.bitwise_count(fps[x] ^ v)
-        near, far, edge_near, edge_far = halves(x, v, int(np.median(d)))
-        if stuck(near, far):
+        v, mu, share = cut(x)
+        near, far, edge_near, edge_far = halves(x, v, mu)
+        if share > 0.95:
             return compare(x, x, True)
         within(near)
         within(far)
@@ -218,10 +231,9 @@ def link_leaf(fps: np.ndarray, visitor: np.ndarray, radius: int) -> tuple[np.nda
             return
         if len(x) <= BLOCK or len(y) <= BLOCK:
             return compare(x, y, False)
-        v = fps[x[len(x) // 2]]
-        mu = int(np.median(np.bitwise_count(fps[y] ^ v)))
+        v, mu, share = cut(y)
         (xn, xf, xen, xef), (yn, yf, yen, yef) = halves(x, v, mu), halves(y, v, mu)
-        if stuck(xn, xf) and stuck(yn, yf):
+        if share > 0.95 and max(len(xn), len(xf)) > 0.95 * len(x):
             return compare(x, y, False)
         across(xn, yn)
         across(xf, yf)
@@ -240,16 +252,17 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEA
     """fps(fp), distinct and written, to spanning links (u, v) of all pairs within radius."""
     spark = fps.sparkSession
     n = fps.count()
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf_size))))
+    depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / leaf_size)))))
     tree = 0
     if depth:
-        rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toArrow()
+        rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, EACH << depth)).select("fp").toArrow()
         tree = build_tree(rows.column("fp").to_numpy().view(np.uint64), depth, radius)
+    shared = spark.sparkContext.broadcast(tree)
 
     def routed(batches):
         for b in batches:
             x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, visitor, at in route(tree, x, radius):
+            for leaf, visitor, at in route(shared.value, x, radius):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int64)), pa.array(np.full(len(at), visitor)), pa.array(x[at].view(np.int64))], ["leaf", "visitor", "fp"])
 
     def linked(t: pa.Table) -> pa.Table:
@@ -262,24 +275,40 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEA
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, leaf_size: int = LEAF) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over fingerprints within radius."""
-    own = materialize(fingerprints(docs, id_col, text_col, size), "fp")
-    groups = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "fp-groups")
-    labels = materialize(connected_components(link_fingerprints(groups, radius, leaf_size)), "fp-labels")
-    named = groups.join(labels, groups.fp == labels.node, "left").select("fp", F.coalesce("component", "fp").alias("label"), "least")
-    named = materialize(named, "fp-named")
-    least = materialize(named.groupBy("label").agg(F.min("least").alias("component")), "fp-least")
-    named = materialize(named.join(least, "label").select("fp", "component"), "fp-components")
+    with Scratch(docs.sparkSession, "simhash") as run:
+        own = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
+        groups = run.write(own.groupBy("fp").agg(F.min("id").alias("least")), "groups")
+        labels = connected_components(link_fingerprints(groups, radius, leaf_size))
+        named = groups.join(labels, groups.fp == labels.node, "left").select("fp", F.coalesce("component", "fp").alias("label"), "least")
+        named = run.write(named, "named")
+        least = run.write(named.groupBy("label").agg(F.min("least").alias("component")), "least")
+        named = materialize(named.join(least, "label").select("fp", "component"), "fingerprint-components")
     return own.join(named, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The row of each group's smallest doc_id; of repeated rows with that id, one. Rows without an id pass.
-    Groups are linked by shingle similarity (`overlap`), not by fingerprints, which can't tell it exactly."""
-    found = near_copies(docs, **options)
-    decision = found.groupBy(F.col("id").alias("_id")).agg(F.min("component").alias("_keep"), F.count("*").alias("_n"))
-    decision = materialize(decision.where("_id = _keep").select("_id", "_n"), "near-dup-kept")
-    kept = docs.join(decision, docs["doc_id"] == decision["_id"])
-    once = kept.where("_n = 1").select(*[docs[c] for c in docs.columns])
-    # the few ids on several rows
-    again = kept.where("_n > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where(docs["doc_id"].isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of each group of near copies the row of the smallest id (of several texts under it, one of the group's); rows without
+    an id pass. Of repeated rows, equal in id and text, one stays. Rows of unrelated texts under one id are groups of their own.
+
+    Groups are linked by shingle similarity (`overlap`), where the vantage-point trees propose and exact comparison decides.
+    Texts aren't joined with the decisions. Two bit sets of fixed size settle nearly every row where it is read: a row
+    that isn't among those that go stays, and one among them, but not among the kept ones that the first set takes for such, goes. Only
+    what both sets name is joined exactly.
+    """
+    found = near_copies(docs, id_col, text_col, **options)
+    at = bitsets.slot(F.col("id"), F.col("key"))
+    goes = materialize(bitsets.of_slots(found.where(~F.col("kept") | (F.col("n") > 1)), at), "copies-gone")
+    doubted = bitsets.with_hit(found.where("kept"), goes, at, "hit").where("hit")
+    stays = materialize(bitsets.of_slots(doubted, at), "copies-doubted")
+
+    names = docs.columns
+    key, gone, kept, other_id, other_key = unused([*names, "word", "mask"], "_key", "_gone", "_kept", "_id", "_other")
+    own = bitsets.slot(F.col(quoted(id_col)), F.col(key))
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))))
+    rows = bitsets.with_hit(bitsets.with_hit(rows, goes, own, gone), stays, own, kept)
+    sure = rows.where(F.col(quoted(id_col)).isNull() | ~F.col(gone))
+    chosen = found.where("kept").select(F.col("id").alias(other_id), F.col("key").alias(other_key))
+    asked = rows.where(F.col(quoted(id_col)).isNotNull() & F.col(gone) & F.col(kept))
+    exact = asked.join(chosen, (F.col(quoted(id_col)) == F.col(other_id)) & (F.col(key) == F.col(other_key)), "leftsemi").dropDuplicates([id_col, key])
+    every = [F.col(quoted(c)) for c in names]
+    return sure.select(*every).unionByName(exact.select(*every))

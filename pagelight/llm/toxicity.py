@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import text_batches
-
 SAMPLE, THRESHOLD = 20_000, 0.7
 #: Seed lexicon and second-person pronouns in the corpus's languages (fixed word lists).
 LEXICON = frozenset("idiot moron stupid scum trash loser pathetic disgusting worthless clown dumb imbecile ignorant connard imbécile débile ordure minable trottel dummkopf abschaum idiota estúpido basura imbécil patético".split())
@@ -154,7 +152,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % 3
     rows = known.where(fold != 1).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    text_batches(docs.sparkSession)
 
     def words(batches):
         for b in batches:
@@ -189,7 +186,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, predicted) of every row."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -205,7 +201,6 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below threshold, all columns as they are."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
