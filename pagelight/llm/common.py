@@ -1,8 +1,4 @@
-"""What the operators share: the scratch folder all executors see, and helpers for columns.
-
-Arrow batches of whole texts need no setting of their own: Spark ends a batch at
-spark.sql.execution.arrow.maxBytesPerBatch, so long texts make short batches.
-"""
+"""What the operators share: the scratch folder all executors see, Arrow batches of texts, and helpers for columns."""
 
 from __future__ import annotations
 
@@ -45,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """End Arrow batches of whole texts at 8 MB, however many rows that is: at Spark's default of 64 MB the batches of two tasks
+    and their copies take most of a 3 GB executor. The setting is read when a query runs, so it is the session's; one that
+    the session has made itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "8m")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Spark's own file system, whatever store it is."""
     jvm = spark.sparkContext._jvm

@@ -4,8 +4,8 @@ Two texts are linked where the Jaccard similarity of their sets of five-word shi
 fingerprint of 64 bits can't tell that without loss, so it only proposes; a prefix-filtered join finds the rest:
 
 1. A text's set is hashed to a node; equal sets are one node.
-2. Fingerprints of the sets are linked through the vantage-point trees of `simhash`, and each node is compared with two
-   nodes of each shingle of its prefix (see 3), the smallest and one drawn by a hash of both. Those pairs that are similar are joined to components, so a large group
+2. Fingerprints of the sets are linked through the vantage-point trees of `simhash`, and each node is compared with ``CENTRES``
+   nodes of each shingle of its prefix (see 3), the smallest and some drawn by a hash of both. Those pairs that are similar are joined to components, so a large group
    of near copies falls together without its pairs.
 3. Shingles are put in one order for all texts, common ones last. Sets of n that reach the similarity share a shingle
    among the first n - ceil(s n) + 1 of both, the smaller of the two (of n) even among its first
@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelight.llm import bitsets
-from pagelight.llm.common import Scratch, materialize, quoted
+from pagelight.llm.common import Scratch, materialize, quoted, text_batches
 from pagelight.llm.components import connected_components
 
 SHINGLE, SIMILARITY, PROPOSE = 5, 0.8, 3
 #: Texts that the order of shingles is taken from, how many common ones it has, and in how many texts those are.
-SAMPLE, COMMON, OFTEN = 4096, 65536, 4
-#: Cells of a set's counts.
-CELLS = 256
+SAMPLE, COMMON, OFTEN = 16384, 1 << 18, 3
+#: Cells of a set's counts; nodes of each shingle that all its nodes are compared with.
+CELLS, CENTRES = 256, 5
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -94,6 +94,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, key, n, component, kept) of the rows with an id, one for each id and text (key is the text's hash, n the number of
     such rows), written. component is the smallest id reachable over similar texts; kept holds for one id and text of
     each component, the smallest."""
+    text_batches(docs.sparkSession)
     with Scratch(docs.sparkSession, "copies") as run:
         return materialize(_linked(run, docs, id_col, text_col, size, similarity), "near-copies")
 
@@ -159,13 +160,13 @@ def _linked(run: Scratch, docs: DataFrame, id_col: str, text_col: str, size: int
         run.drop(pairs, sets)
         return links
 
-    # what the fingerprints propose, and each node with two of each of its shingles
+    # what the fingerprints propose, and each node with a few of each of its shingles
     least = run.write(nodes.groupBy("fp").agg(F.min("node").alias("b")), "fingerprints")
     close = run.write(link_fingerprints(least.select("fp"), PROPOSE), "close")
     ends = least.select(F.col("fp").alias("u"), F.col("b").alias("a")), least.select(F.col("fp").alias("v"), "b")
     proposed = close.join(ends[0], "u").join(ends[1], "v").select("a", "b").unionByName(nodes.join(least, "fp").select(F.col("node").alias("a"), "b").where("a <> b"))
-    spread = F.struct(F.xxhash64("token", "node").alias("h"), "node", "n", "p")
-    centres = members.groupBy("token").agg(F.array(F.min(F.struct(F.lit(0).cast("long").alias("h"), "node", "n", "p")), F.min(spread)).alias("y"))
+    drawn = [F.lit(0).cast("long"), *(F.xxhash64("token", "node", F.lit(i)) for i in range(1, CENTRES))]  # the first: the smallest node
+    centres = members.groupBy("token").agg(F.array(*[F.min(F.struct(h.alias("h"), "node", "n", "p")) for h in drawn]).alias("y"))
     centres = centres.select("token", F.explode(F.array_distinct(F.transform("y", lambda c: F.struct(c["node"].alias("b"), c["n"].alias("bn"), c["p"].alias("bp"))))).alias("y"))
     centres = run.write(centres.select("token", "y.*"), "centres")
     x = members.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelight.llm import bitsets
-from pagelight.llm.common import Scratch, materialize, quoted, unused
+from pagelight.llm.common import Scratch, materialize, quoted, text_batches, unused
 from pagelight.llm.components import connected_components
 from pagelight.llm.overlap import near_copies
 
@@ -73,6 +73,7 @@ def _text_bytes(column) -> Iterator[bytes]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
