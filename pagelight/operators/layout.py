@@ -1,54 +1,140 @@
-"""Layout stage: blob classes, word segmentation, baselines, boxes; windows are by page or line."""
+"""Layout stage: blob classes, lines, columns, word segmentation, baselines, boxes.
+
+Windows are by page or by line, and a page's partitioning serves its lines, so a chain of these shuffles once. Lines and columns
+grow as blobs join them, in an order that matters; that fold is a small function over one page's boxes.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def classify(components: DataFrame) -> DataFrame:
     """components with blob_type; sizes are judged against the page's median height, pages of under 3 are all text."""
-    pages = components.groupBy("page_id").agg(F.median("h").alias("med"), F.count("*").alias("blobs"))
+    page = Window.partitionBy("page_id")
     m, h = F.col("med"), F.col("h")
     kind = (
         F.when(F.col("blobs") < 3, "text")
         .when(F.col("pixel_count") < F.col("w") * h * 0.1, "noise").when(h < m * 0.25, "noise").when(h < m * 0.5, "small")
         .when((h <= m * 3.0) & (F.col("w") <= m * 10.0), "text").otherwise("large")
     )
-    return components.join(pages, "page_id").withColumn("blob_type", kind).drop("med", "blobs")
+    return components.withColumn("med", F.median("h").over(page)).withColumn("blobs", F.count("*").over(page)).withColumn("blob_type", kind).drop("med", "blobs")
+
+
+def text_blobs(components: DataFrame) -> DataFrame:
+    return classify(components).where("blob_type = 'text'").drop("blob_type")
+
+
+def _grown(t: pa.Table) -> pa.Table:
+    """line_no of one page's blobs, from 0 by the top of the line."""
+    y, x, w, h = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "w", "h"))
+    top, bottom, row_of = [], [], np.empty(len(y), np.int64)
+    for i in np.lexsort((t.column("seq").to_numpy(), x, y + h // 2)).tolist():
+        own = (y[i], y[i] + h[i])
+        shared = np.minimum(bottom, own[1]) - np.maximum(top, own[0]) if top else np.empty(0)
+        best = int(np.argmax(shared)) if len(shared) else -1
+        if best < 0 or shared[best] <= 0:
+            best = len(top)
+            top.append(own[0])
+            bottom.append(own[1])
+        row_of[i] = best
+        top[best], bottom[best] = min(top[best], own[0]), max(bottom[best], own[1])
+    place = np.empty(len(top), np.int64)
+    place[np.argsort(top, kind="stable")] = np.arange(len(top))
+    return t.append_column("line_no", pa.array(place[row_of].astype(np.int32)))
+
+
+def detect_lines(blobs: DataFrame) -> DataFrame:
+    """blobs with line_no: each blob, by the middle of its height, then x, joins the row that it overlaps most, or begins one."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema) + ", line_no int"
+    return blobs.groupBy("page_id").applyInArrow(_grown, schema)
+
+
+def line_boxes(blobs: DataFrame, line: str = "line_no") -> DataFrame:
+    """(page_id, line, x_min, x_max, y_min, y_max, blobs)."""
+    right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    return blobs.groupBy("page_id", line).agg(F.min("x").alias("x_min"), F.max(right).alias("x_max"), F.min("y").alias("y_min"), F.max(bottom).alias("y_max"), F.count("*").alias("blobs"))
+
+
+def column_span(x_min, x_max):
+    return F.greatest(F.lit(0), x_max - x_min)
+
+
+def column_middle(x_min, x_max):
+    return x_min + F.floor(column_span(x_min, x_max) / 2).cast("int")
+
+
+def _columns(t: pa.Table) -> pa.Table:
+    """block_no of one page's lines, from 0 by the middle of the column."""
+    x0, x1 = (t.column(c).to_numpy().astype(np.int64) for c in ("x_min", "x_max"))
+    left, right, column_of = [], [], np.empty(len(x0), np.int64)
+    for i in np.lexsort((t.column("line_no").to_numpy(), t.column("y_min").to_numpy())).tolist():
+        best, most = -1, 0.5
+        for c in range(len(left)):
+            shared = min(x1[i], right[c]) - max(x0[i], left[c])
+            ratio = shared / min(max(x1[i] - x0[i], 1), max(right[c] - left[c], 1))
+            if shared > 0 and ratio > most:
+                best, most = c, ratio
+        if best < 0:
+            best = len(left)
+            left.append(x0[i])
+            right.append(x1[i])
+        column_of[i] = best
+        left[best], right[best] = min(left[best], x0[i]), max(right[best], x1[i])
+    middle = np.array(left) + (np.array(right) - np.array(left)) // 2
+    place = np.empty(len(left), np.int64)
+    place[np.argsort(middle, kind="stable")] = np.arange(len(left))
+    return t.append_column("block_no", pa.array(place[column_of].astype(np.int32)))
+
+
+def detect_columns(lines: DataFrame) -> DataFrame:
+    """lines(page_id, line_no, x_min, x_max, y_min, y_max, ...) with block_no: each line, from the top, joins the column that it
+    shares the largest part over half of the narrower one with, or begins one."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", block_no int"
+    return lines.groupBy("page_id").applyInArrow(_columns, schema)
+
+
+def block_boxes(lines: DataFrame) -> DataFrame:
+    """(page_id, block_no, x_min, x_max, y_min, y_max): columns around their lines."""
+    return lines.groupBy("page_id", "block_no").agg(F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
 
 
-def word_ids(blobs: DataFrame) -> DataFrame:
+def word_ids(blobs: DataFrame, line_id: str = "line_id") -> DataFrame:
     """blobs of a line, ordered by x, with word_id; a gap ends a word where it reaches the line's threshold,
     the middle of the largest jump in its sorted gaps. Two gaps or fewer: half the median width. A largest
     jump under 0.3 of the median width: one word."""
-    line = Window.partitionBy("page_id", "line_id")
+    line = Window.partitionBy("page_id", line_id)
     along = line.orderBy("x", "seq")
     b = blobs.withColumn("gap", F.lead("x").over(along) - (F.col("x") + F.col("w")))
     ranked = line.orderBy(F.col("gap").asc_nulls_last(), "x", "seq")
     b = b.withColumn("lower", F.when(F.col("gap").isNotNull(), F.lag("gap").over(ranked)))
-    b = b.withColumn("jump", F.col("gap") - F.col("lower"))
-    per = b.groupBy("page_id", "line_id").agg(F.median("w").alias("med"), F.count("gap").alias("gaps"), F.max("gap").alias("most"), F.max_by(F.struct("lower", "gap", "jump"), F.struct(F.col("jump"), -F.col("gap"))).alias("top"))
+    jump = F.col("gap") - F.col("lower")
+    top = F.max_by(F.struct("lower", "gap", jump.alias("jump")), F.struct(jump, -F.col("gap"))).over(line)
+    med, gaps, most = F.median("w").over(line), F.count("gap").over(line), F.max("gap").over(line)
+    b = b.withColumn("top", top).withColumn("med", med).withColumn("gaps", gaps).withColumn("most", most)
     thr = (
         F.when(F.col("gaps") <= 2, F.col("med") * 0.5).when(F.col("top.jump") < F.col("med") * 0.3, F.col("most") + 1.0)
         .otherwise((F.col("top.lower") + F.col("top.gap")) / 2.0)
     )
-    b = b.join(per.select("page_id", "line_id", thr.alias("thr")), ["page_id", "line_id"])
+    b = b.withColumn("thr", thr)
     opens = F.when(F.lag("gap").over(along) >= F.col("thr"), 1).otherwise(0)
     return b.withColumn("o", opens).withColumn("word_id", F.sum("o").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).select(*blobs.columns, "word_id")
 
 
-def words(blobs: DataFrame) -> DataFrame:
+def words(blobs: DataFrame, line_id: str = "line_id") -> DataFrame:
     """(page_id, line_id, word_id, x, y, right, bottom, n_blobs)."""
-    return word_ids(blobs).groupBy("page_id", "line_id", "word_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"), F.count("*").alias("n_blobs"))
+    return word_ids(blobs, line_id).groupBy("page_id", line_id, "word_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"), F.count("*").alias("n_blobs"))
 
 
-def baselines(blobs: DataFrame) -> DataFrame:
+def baselines(blobs: DataFrame, line_id: str = "line_id") -> DataFrame:
     """(page_id, line_id, slope, intercept): least squares of bottoms on centres; one blob is level."""
     x, y = F.col("x") + F.col("w") / 2.0, (F.col("y") + F.col("h")).cast("double")
-    s = blobs.groupBy("page_id", "line_id").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"))
+    s = blobs.groupBy("page_id", line_id).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"))
     den = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     flat = (F.col("n") < 2) | (F.abs(den) < 1e-9)
     slope = F.when(flat, 0.0).otherwise((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / den)
     s = s.withColumn("slope", slope)
-    return s.select("page_id", "line_id", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))
+    return s.select("page_id", line_id, "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))

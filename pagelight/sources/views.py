@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelight.functions import scalar
+from pagelight.functions import scalar, vectors
+from pagelight.operators import pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Vectors of one page or line: a page is a block of ids, so that no label, however frequent, is one task.
+PAGE, LINE = 64, 32
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pixels(page_id, y, x, px): a page for each label, a row for each vector."""
-    e = table(spark, sf_dir, "embeddings")
-    y = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.withColumn("y", y).select(F.col("label").cast("long").alias("page_id"), "y", F.posexplode("embedding").alias("x", "v"))
+    """pixels(page_id, y, x, px, width, height): a page for each block of ids, a row for each vector; no shuffle."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id is not null")
+    page, y = F.floor(F.col("vec_id") / PAGE).cast("long"), F.pmod("vec_id", F.lit(PAGE)).cast("int")
+    rows = e.select(page.alias("page_id"), y.alias("y"), F.size("embedding").alias("width"), F.posexplode("embedding").alias("x", "v"))
     px = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v").cast("double") + 0.6) * 200))).cast("int")
-    return rows.select("page_id", "y", "x", px.alias("px"))
+    return rows.select("page_id", "y", "x", px.alias("px"), "width", F.lit(PAGE).alias("height"))
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages, one row each."""
+    return pages.gathered(raster(spark, sf_dir))
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +43,34 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_id, t, logits): vectors of a label in order."""
-    e = table(spark, sf_dir, "embeddings")
-    t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return e.select(F.col("label").cast("long").alias("line_id"), t.alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    """(line_id, t, logits): the vectors of a block of ids in order; no shuffle."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null")
+    line, t = F.floor(F.col("vec_id") / LINE).cast("long"), F.pmod("vec_id", F.lit(LINE)).cast("int")
+    return e.select(line.alias("line_id"), t.alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+
+
+def softmax_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_id, t, probs)."""
+    return frames(spark, sf_dir).select("line_id", "t", vectors.softmax(F.col("logits")).alias("probs"))
+
+
+def weight_rows(spark: SparkSession, sf_dir: str, rows: int = 10) -> list[list[float]]:
+    """A matrix of 63 weights and a bias in each of a few rows: a model's parameters, not data."""
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < rows).orderBy("vec_id").limit(rows)
+    return [[float(x) for x in r["embedding"]] for r in e.collect()]
+
+
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, page_width, page_height, blocks): a conversation as a page of one block, its turns as lines, boxes from places and lengths."""
+    c = page_words(spark, sf_dir)
+    size = lambda x: F.length(x) * 10
+    word = lambda w, i: F.struct(w.alias("text"), F.lit(0.75).cast("float").alias("confidence"), scalar.box(i * 100, F.col("line_id").cast("int") * 40, i * 100 + size(w), F.col("line_id").cast("int") * 40 + 20).alias("bbox"))
+    y = F.col("line_id").cast("int") * 40
+    line = F.struct(scalar.box(F.lit(0), y, F.lit(1000), y + 20).alias("bbox"), F.lit(0.0).cast("float").alias("baseline_slope"), (y + 20).cast("float").alias("baseline_intercept"), F.transform("words", word).alias("words"))
+    lines = c.select("page_id", F.struct("line_id", F.array_join("words", " ").alias("key"), line.alias("line")).alias("l"))
+    pages_ = lines.groupBy("page_id").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    block = F.struct(scalar.box(F.lit(0), F.lit(0), F.lit(1000), F.size("l") * 40).alias("bbox"), F.transform("l", lambda x: x["line"]).alias("lines"))
+    return pages_.select("page_id", F.lit(1000).alias("page_width"), (F.size("l") * 40).alias("page_height"), F.array(block).alias("blocks"))
 
 
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
