@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 1. Centroids are fitted on a bounded sample (``SAMPLE`` vectors): repeated two-way splits of the largest
-   cluster, so that clusters are balanced. Their number grows with the sample only, and a graph over
-   them (nearest neighbours, kept in memory by every worker) finds a vector's closest ones.
+   cluster, so that clusters are balanced. There is one for about ``LIST`` vectors of the table, up to one for ``LEAST`` of the sample;
+   a graph over them (nearest neighbours, kept in memory by every worker) finds a vector's closest ones.
 2. Each vector goes to its closest list; near a boundary also to others whose distance is within
-   ``REPLICATE`` of it, ``COPIES`` at most. Every vector is in at least one list.
-3. A query searches the lists whose centroid distance is within ``PRUNE`` of its closest one's,
-   ``PROBES`` at most. A query that gets fewer than k answers that way is compared with all rows, in blocks.
-4. Lists are dealt in parts by a hash of the id, each part of about ``PART`` vectors, with the list's queries sent
-   to each part, so that a hot list is many tasks. Parts return their best k per query, and those are merged.
+   ``REPLICATE`` of it, ``COPIES`` at most, unless a list it is in already has a centroid closer to theirs. Every vector is in one list at least.
+3. A query searches the lists whose centroid distance is within a ratio of its closest one's, up to a number of lists. Ratio and number are
+   measured when fitting: the smallest with which queries of the sample find ``WANTED`` of their true neighbours in it. A query that gets fewer
+   than k answers that way is compared with all rows, in blocks.
+4. A list with many queries or vectors is dealt in parts by hashes of their ids, each of about ``PART`` vectors and ``ASKED`` queries, so that
+   a hot list is many tasks. Parts return their best k per query, and those are merged.
 
 Equal vectors are indexed once: a group of copies gives the k + 1 smallest ids (ties go to smaller ids, so no
 other id can be an answer), found by a window limited before its shuffle. Scores are Euclidean distances
@@ -16,7 +17,7 @@ in double precision on the original vectors.
 
 Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite parts
 take no part; neither do rows with a null id. Repeated ids count as one candidate of each distinct
-vector; an empty table gives an empty result.
+vector; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,71 +29,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import materialize
+from pagelight.llm.common import materialize, quoted
 
-SAMPLE, LIST = 32_768, 128
+SAMPLE, LIST, LEAST = 65_536, 128, 8
 COPIES, REPLICATE = 4, 1.1
-PROBES, PRUNE = 48, 1.6
-PART, NEIGHBOURS, BEAM = 4096, 16, 128
+#: Share of true neighbours that the measured settings find in the sample, and queries that measure it.
+WANTED, MEASURED = 0.97, 512
+PART, ASKED, NEIGHBOURS, BEAM = 4096, 2048, 16, 24
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None, :], 0)
 
 
 class Centroids:
-    def __init__(self, sample: np.ndarray, list_size: int = LIST) -> None:
+    """Balanced clusters of a sample, their graph, and the search settings measured on the sample."""
+
+    def __init__(self, sample: np.ndarray, rows: int, k: int, list_size: int = LIST) -> None:
         rng = np.random.default_rng(11)
+        wanted = int(np.clip(rows // list_size, 1, max(1, len(sample) // LEAST)))
         parts = [(-len(sample), 0, np.arange(len(sample)))]
-        count = 0
-        while -parts[0][0] > list_size:
+        for count in range(1, wanted):
             _, _, at = heapq.heappop(parts)
-            x = sample[at]
+            x = sample[at] - sample[at].mean(axis=0)
             axis = x[rng.integers(len(x))] - x[rng.integers(len(x))]
             for _ in range(4):  # towards the main direction, then an even cut
-                axis = (x - x.mean(axis=0)).T @ ((x - x.mean(axis=0)) @ axis)
+                axis = x.T @ (x @ axis)
                 axis /= np.linalg.norm(axis) or 1.0
             order = np.argsort(x @ axis, kind="stable")
-            for half in np.array_split(at[order], 2):
-                count += 1
-                heapq.heappush(parts, (-len(half), count, half))
+            for j, half in enumerate(np.array_split(at[order], 2)):
+                heapq.heappush(parts, (-len(half), 2 * count + j, half))
         self.points = np.array([sample[p[2]].mean(axis=0) for p in sorted(parts, key=lambda p: p[1])])
-        for _ in range(3):  # settle; a part that empties keeps its place
-            near = np.concatenate([self._all(b)[:, :].argmin(axis=1) for b in np.array_split(sample, max(1, len(sample) // 2048))])
-            for i in np.unique(near):
-                self.points[i] = sample[near == i].mean(axis=0)
-        k = min(NEIGHBOURS + 1, len(self.points))
-        self.graph = [np.argsort(self._all(p[None, :])[0], kind="stable")[1:k] for p in self.points]
-        # long links keep distant parts reachable
-        self.graph = [np.unique(np.concatenate((g, rng.integers(len(self.points), size=4)))) for g in self.graph]
-        self.entry = np.unique(np.linspace(0, len(self.points) - 1, 16).astype(int))
-
-    def _all(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ self.points.T + (self.points**2).sum(axis=1)[None, :], 0)
-
-    def search(self, v: np.ndarray, most: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """About the `most` closest centroids and their distances, by best-first search of the graph."""
+        n = len(self.points)
+        near = min(NEIGHBOURS, n - 1)
+        graph = np.empty((n, near + 4), np.int64)
+        for at in range(0, n, 1024):
+            d = _squares(self.points[at : at + 1024], self.points)
+            graph[at : at + 1024, :near] = np.argsort(d, axis=1, kind="stable")[:, 1 : near + 1]
+        graph[:, near:] = rng.integers(n, size=(n, 4))  # long links keep distant parts reachable
+        self.graph, self.entry = graph, np.unique(np.linspace(0, n - 1, 16).astype(np.int64))
+        self.probes, self.prune = n, np.inf
+        self._measure(sample, rng, k)
+
+    def _best(self, x: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row's ids, repeats left out, the closest to its vector, in order."""
+        ids = np.sort(ids, axis=1)
+        d = np.sqrt(((self.points[ids] - x[:, None, :]) ** 2).sum(axis=2))
+        d[:, 1:][ids[:, 1:] == ids[:, :-1]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+
+    def search(self, x: np.ndarray, most: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """About the `most` closest centroids of each vector and their distances (infinite beyond those found), by a search of the graph
+        that follows the links of all that is among the best so far until nothing better turns up."""
         beam = max(beam, most)
-        d = np.sqrt(((self.points[self.entry] - v) ** 2).sum(axis=1))
-        seen = set(self.entry.tolist())
-        todo = list(zip(d.tolist(), self.entry.tolist()))
-        heapq.heapify(todo)
-        found = [(-x, i) for x, i in todo]
-        heapq.heapify(found)
-        while todo:
-            x, i = heapq.heappop(todo)
-            if len(found) >= beam and x > -found[0][0]:
-                break
-            fresh = [j for j in self.graph[i].tolist() if j not in seen]
-            if not fresh:
-                continue
-            seen.update(fresh)
-            for y, j in zip(np.sqrt(((self.points[fresh] - v) ** 2).sum(axis=1)).tolist(), fresh):
-                if len(found) < beam:
-                    heapq.heappush(found, (-y, j))
-                elif y < -found[0][0]:
-                    heapq.heapreplace(found, (-y, j))
-                else:
-                    continue
-                heapq.heappush(todo, (y, j))
-        best = sorted((-x, i) for x, i in found)[:most]
-        return np.array([i for _, i in best]), np.array([x for x, _ in best])
+        ids, d = self._best(x, np.tile(self.entry, (len(x), 1)), beam)
+        moving = np.arange(len(x))
+        while len(moving):
+            links = self.graph[ids[moving, :BEAM]].reshape(len(moving), -1)
+            wide = np.concatenate((ids[moving], links), axis=1)
+            new_ids, new_d = self._best(x[moving], wide, beam)
+            pad = new_ids.shape[1] - ids.shape[1]
+            if pad > 0:
+                ids = np.concatenate((ids, np.repeat(ids[:, :1], pad, 1)), axis=1)
+                d = np.concatenate((d, np.full((len(d), pad), np.inf)), axis=1)
+            better = (new_d < d[moving]).any(axis=1)
+            ids[moving], d[moving] = new_ids, new_d
+            moving = moving[better]
+        return ids[:, :most], d[:, :most]
+
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list): the lists of each vector."""
+        ids, d = self.search(x, min(COPIES * 2, len(self.points)))
+        taken = np.zeros(ids.shape, bool)
+        taken[:, 0] = True
+        for j in range(1, ids.shape[1]):
+            between = np.sqrt(((self.points[ids] - self.points[ids[:, j : j + 1]]) ** 2).sum(axis=2))
+            covered = (taken & (between < d[:, j : j + 1])).any(axis=1)
+            taken[:, j] = (d[:, j] <= REPLICATE * d[:, 0] + 1e-12) & ~covered & (taken.sum(axis=1) < COPIES)
+        rows, places = np.nonzero(taken)
+        return rows, ids[rows, places]
+
+    def probed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list): the lists that each query searches."""
+        ids, d = self.search(x, self.probes)
+        rows, places = np.nonzero(d <= self.prune * d[:, :1] + 1e-12)
+        return rows, ids[rows, places]
+
+    def _measure(self, sample: np.ndarray, rng: np.random.Generator, k: int) -> None:
+        if len(self.points) < 4:
+            return
+        asked = rng.choice(len(sample), min(MEASURED, len(sample)), replace=False)
+        d = _squares(sample[asked], sample)
+        d[np.arange(len(asked)), asked] = np.inf
+        true = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
+        away = np.sqrt(_squares(sample[asked], self.points))
+        place = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1, kind="stable")
+        rows, lists = [], []
+        flat, back = np.unique(true, return_inverse=True)
+        for at in range(0, len(flat), 4096):
+            r, c = self.lists(sample[flat[at : at + 4096]])
+            rows.append(r + at)
+            lists.append(c)
+        rows, lists = np.concatenate(rows), np.concatenate(lists)
+        first = np.searchsorted(rows, np.arange(len(flat) + 1))
+        need, ratio = [], []
+        for q, wanted in enumerate(back.reshape(true.shape)):
+            nearest = max(away[q].min(), 1e-12)
+            for t in wanted:
+                own = lists[first[t] : first[t + 1]]
+                need.append(place[q, own].min() + 1)
+                ratio.append(away[q, own].min() / nearest)
+        self.probes = int(min(len(self.points), np.ceil(np.quantile(need, WANTED) * 1.25)))
+        self.prune = float(np.quantile(ratio, WANTED + (1 - WANTED) / 2))
 
 
 def usable(column):
@@ -101,50 +150,47 @@ def usable(column):
     return F.coalesce(column.isNotNull() & (F.size(column) > 0) & whole & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probes: int = PROBES, prune: float = PRUNE, list_size: int = LIST) -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, list_size: int = LIST) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that the condition `queries` holds for."""
     spark = vectors.sparkSession
-    ok = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    ok = materialize(ok.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).distinct(), "ann-vectors")
+    ok = vectors.where(F.col(quoted(id_col)).isNotNull() & usable(F.col(quoted(vector_col))))
+    ok = materialize(ok.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).distinct(), "ann-vectors")
     key = F.xxhash64("v")
     ranked = Window.partitionBy("key", "v").orderBy("id")
-    distinct = ok.select("id", "v", key.alias("key")).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
+    distinct = ok.select("id", "v", key.alias("key")).distinct().withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
     groups = materialize(distinct.groupBy("key", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids", "v"), "ann-groups")
-    drawn = groups.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").toArrow().column("v")
+    drawn = groups.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").toArrow().column("v").combine_chunks()
     empty = "query_id long, rank int, vec_id long, score double"
     if not len(drawn):
         return spark.createDataFrame([], empty)
-    rows = drawn.to_pylist()
-    width = np.bincount([len(r) for r in rows]).argmax()
-    fitted = spark.sparkContext.broadcast(Centroids(np.array([r for r in rows if len(r) == width]), list_size))
+    lengths = np.diff(drawn.offsets.to_numpy())
+    width = np.bincount(lengths).argmax()
     n = groups.count()
-    chunks = max(1, int(np.ceil(n * 2 / (PART * len(fitted.value.points)))))  # parts of a list, as the lists grow with the input
-
-    def posted(batches):
-        c = fitted.value
-        for b in batches:
-            out = []
-            for at, v in enumerate(b.column("v")):
-                x = np.array(v.as_py())
-                near, d = c.search(x, COPIES, 32)
-                keep = near[d <= REPLICATE * d[0] + 1e-12]
-                out += [(at, int(i)) for i in keep]
-            yield pa.RecordBatch.from_arrays([b.column("ids").take(pa.array([a for a, _ in out])), b.column("v").take(pa.array([a for a, _ in out])), pa.array([i for _, i in out], pa.int32())], ["ids", "v", "list"])
-
-    def probed(batches):
-        c = fitted.value
-        for b in batches:
-            out = []
-            for at, v in enumerate(b.column("v")):
-                near, d = c.search(np.array(v.as_py()), probes)
-                out += [(at, int(i)) for i in near[d <= prune * d[0] + 1e-12]]
-            at = pa.array([a for a, _ in out])
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("v").take(at), pa.array([i for _, i in out], pa.int32())], ["query_id", "v", "list"])
+    model = Centroids(drawn.filter(pa.array(lengths == width)).flatten().to_numpy().reshape(-1, int(width)), n, k, list_size)
+    fitted = spark.sparkContext.broadcast(model)
+
+    def batched(search, out_ids: str):
+        def run(batches):
+            for b in batches:
+                x = b.column("v").flatten().to_numpy().reshape(-1, int(width))
+                for at in range(0, len(x), 256):
+                    rows, lists = search(x[at : at + 256])
+                    took = pa.array(rows + at)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(took), b.column("v").take(took), pa.array(lists, pa.int32())], [out_ids, "v", "list"])
+
+        return run
 
     sized = F.size("v") == int(width)
-    salt = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(chunks)).cast("int")
-    lists = groups.where(sized).mapInArrow(posted, "ids array<long>, v array<double>, list int").withColumn("part", salt)
-    asked = ok.where(F.col("q") & sized).select("id", "v").mapInArrow(probed, "query_id long, v array<double>, list int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asked = ok.where(F.col("q") & sized).select("id", "v").mapInArrow(batched(lambda x: fitted.value.probed(x), "query_id"), "query_id long, v array<double>, list int")
+    lists = groups.where(sized).mapInArrow(batched(lambda x: fitted.value.lists(x), "ids"), "ids array<long>, v array<double>, list int")
+    asked, lists = materialize(asked, "ann-asked"), materialize(lists, "ann-lists")
+    # how many parts of queries and of vectors each list has; at most a row for each centroid
+    heavy = asked.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("qs"), F.lit(1).alias("vs")).unionByName(lists.groupBy("list").agg(F.lit(1).alias("qs"), F.ceil(F.count("*") / PART).cast("int").alias("vs")))
+    heavy = F.broadcast(materialize(heavy.groupBy("list").agg(F.max("qs").alias("qs"), F.max("vs").alias("vs")), "ann-heavy"))
+    deal = lambda column, parts: F.pmod(F.xxhash64(column), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    asked = asked.join(heavy, "list").select("query_id", "v", "list", deal(F.col("query_id"), "qs").alias("qp"), every("vs").alias("vp"))
+    lists = lists.join(heavy, "list").select("ids", "v", "list", deal(F.col("ids")[0], "vs").alias("vp"), every("qs").alias("qp"))
 
     def matrix(column) -> np.ndarray:
         return column.combine_chunks().flatten().to_numpy().reshape(-1, int(width))
@@ -164,7 +210,7 @@ def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", ve
                 scores += [s for s, _ in best]
         return pa.table({"query_id": pa.array(qs, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
-    found = asked.groupBy("list", "part").cogroup(lists.groupBy("list", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = asked.groupBy("list", "qp", "vp").cogroup(lists.groupBy("list", "qp", "vp")).applyInArrow(search, "query_id long, vec_id long, score double")
     # replicas of a candidate fall together; at most probes * parts * k rows a query
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
