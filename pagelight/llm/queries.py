@@ -67,6 +67,15 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM d
 """
 
-#: Searches by exact SQL are given only where the operator's result is exact. Pages hold no redirects or
-#: canonical links in these tables, so the rules alone decide in op8's SQL; tests cover aliases.
-ORACLE_SQL = {"op3_warc": _WARC_SQL}
+_URL_SQL = """
+WITH u AS (SELECT page_id, url, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS h, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+r AS (SELECT * FROM (VALUES %s) AS t(kind, rh, rp)),
+f AS (SELECT p.*, kind, rh || rp AS rule, length(rh || rp) AS n FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC NULLS LAST, kind) AS k FROM f)
+SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict, NULL::VARCHAR AS alias_of FROM b WHERE k = 1
+""" % ", ".join(f"('{k}', '{h}', '{p}')" for k, h, p in urls.RULES)
+
+#: Searches by exact SQL are given only where the operator's result is exact. op8's SQL has the rules alone: pages hold no redirects
+#: or canonical links in these tables; tests compare aliases with brute force.
+ORACLE_SQL = {"op3_warc": _WARC_SQL, "op8_urls": _URL_SQL}

@@ -2,26 +2,31 @@
 
 Redirects (meta refresh) and canonical links of pages are edges between URLs. Distributed connected
 components over them make classes of equivalent URLs; a class with a URL that a rule blocks is
-blocked, but a URL with an allow rule of its own stays allowed. Rule lookup joins nothing: the rule
-list is a bounded parameter, checked longest first.
+blocked, but a URL with an allow rule of its own stays allowed.
 
-A null URL, or one without ``://``, has an empty host and path and no aliases. Repeated rows get the same verdict.
+Rules are a table of any size. A host's suffixes (itself, without its first label, and so on) are joined with the rules' hosts, once for each
+different host and path, and the longest rule whose path fits is taken; no URL is compared with rules of other hosts. Markup is cut out of
+the html first, so only URLs, not pages, are moved.
+
+A null URL, or one without ``://``, has an empty host and path and no aliases. Repeated rows get the same verdict. Of rules of equal length
+allow comes first. A link in a comment is none; very long pages are searched whole; other columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import ascii_lower, materialize
+from pagelight.llm.common import ascii_lower, materialize, quoted
 from pagelight.llm.components import connected_components
 
 #: (verdict, host, path prefix)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-MAX_RULES = 1000
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*'?([^"'\s>;]+)"""
+_LINKS = r"(?is)<(?:link|meta|base)\b[^>]*>"
+_CANONICAL = r"""(?is)^<link\b.*\srel\s*=\s*(?:canonical(?=[\s/>])|"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?')"""
+_REFRESH = r"""(?is)^<meta\b.*\shttp-equiv\s*=\s*["']?refresh\b"""
 
 
 def host_of(url: Column) -> Column:
@@ -32,16 +37,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules=None) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits; nulls where none does. At equal length allow comes first."""
-    rules = RULES if rules is None else rules
-    if len(rules) > MAX_RULES:
-        raise ValueError("too many rules for one expression")
-    name = verdict = F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[0] == "allow", r[1:])):
-        fits = ((host == h) | host.endswith(F.lit("." + h))) & path.startswith(F.lit(p))
-        name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(kind)).otherwise(verdict)
-    return name, verdict
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """(kind, rule_host, rule_path)."""
+    if isinstance(rules, DataFrame):
+        return rules.toDF("kind", "rule_host", "rule_path")
+    return spark.createDataFrame(rules or [], "kind string, rule_host string, rule_path string")
+
+
+def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls(host, path) to (host, path, rule, own), once for each host and path that a rule fits."""
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = urls.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(suffixes)).alias("rule_host"))
+    fits = each.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    longest = F.struct(F.length("rule_host") + F.length("rule_path"), F.col("kind") == "allow", F.concat("rule_host", "rule_path"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("kind").alias("own")), longest).alias("r"))
+    return best.select("host", "path", "r.rule", "r.own")
 
 
 def canonical_form(url: Column) -> Column:
@@ -51,39 +62,68 @@ def canonical_form(url: Column) -> Column:
     return F.concat(ascii_lower(head), F.substr(bare, F.length(head) + 1))
 
 
-def _absolute(target: Column, url: Column) -> Column:
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not; null where it isn't there."""
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.when(tag.rlike(pattern), F.trim(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without . and .. segments."""
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.lit(1), F.size(acc) - 1))
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == ".", acc).when(p == "..", up(acc)).otherwise(F.concat(acc, F.array(p))))
+    return F.when(path.contains("/."), F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as seen from url."""
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*[^?#]*/)", 1)
-    return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+    path = path_of(url)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    whole = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
         .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .otherwise(F.concat(F.when(base != "", base).otherwise(F.concat(root, F.lit("/"))), target))
+        .when(target.startswith("?"), F.concat(root, F.when(path == "", F.lit("/")).otherwise(path), target))
+        .otherwise(F.concat(root, folder, target))
     )
+    own = path_of(whole)
+    head = F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.concat(head, _without_dots(own), F.substr(whole, F.length(head) + F.length(own) + 1))
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): a page's URL and a redirect or canonical target, both in canonical form."""
-    found = pages.where(F.col(url_col).contains("://") & F.col(html_col).rlike(r"(?i)canonical|refresh")).select(
-        F.col(url_col).alias("url"), F.explode(F.array_distinct(F.concat(F.regexp_extract_all(html_col, F.lit(_CANONICAL), 1), F.regexp_extract_all(html_col, F.lit(_REFRESH), 1)))).alias("target")
-    )
-    found = found.where("target <> ''").select(canonical_form(F.col("url")).alias("u"), canonical_form(_absolute(F.regexp_replace("target", "&amp;", "&"), F.col("url"))).alias("v"))
-    return found.where("u <> v")
-
-
-def judge(pages: DataFrame, rules=None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", default: str = "allow") -> DataFrame:
+    """(u, v): a page's URL and a redirect or canonical target, both in canonical form; a page's base comes before its URL."""
+    url, html = F.col(quoted(url_col)), F.col(quoted(html_col)).cast("string")
+    tags = F.regexp_extract_all(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), F.lit(_LINKS), F.lit(0))
+    found = pages.where(url.contains("://") & html.rlike(r"(?i)canonical|refresh")).select(url.alias("url"), tags.alias("tags"))
+    base = F.try_element_at(F.filter(F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b")), lambda t: _attribute(t, "href")), lambda h: h.isNotNull()), F.lit(1))
+    canonical = F.transform(F.filter("tags", lambda t: t.rlike(_CANONICAL)), lambda t: _attribute(t, "href"))
+    refresh = F.transform(F.filter("tags", lambda t: t.rlike(_REFRESH)), lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"']*)""", 1)))
+    found = found.where(F.size("tags") > 0).select("url", base.alias("base"), F.concat(canonical, refresh).alias("targets"))
+    found = found.select("url", F.explode(F.array_distinct(F.filter("targets", lambda t: t != ""))).alias("target"), "base")
+    plain = lambda c: F.regexp_replace(c, "&amp;", "&")
+    seen = F.when(F.col("base").isNotNull() & (F.col("base") != ""), resolved(plain(F.col("base")), F.col("url"))).otherwise(F.col("url"))
+    found = found.where(~F.col("target").startswith("#")).select(canonical_form(F.col("url")).alias("u"), canonical_form(resolved(plain(F.col("target")), seen)).alias("v"))
+    return found.where("u <> v and v like '%://%'")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", default: str = "allow") -> DataFrame:
     """(id_col, host, path, rule, verdict, alias_of): alias_of is the smallest URL of the class, null without aliases."""
-    url = F.col(url_col)
-    base = pages.select(F.col(id_col), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"), canonical_form(url).alias("_node"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("_own", verdict)
+    rules = rule_table(pages.sparkSession, RULES if rules is None else rules)
+    url = F.col(quoted(url_col)).cast("string")
+    base = pages.select(F.col(quoted(id_col)).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical_form(url).alias("_node"))
+    own = materialize(longest_rules(base, rules), "url-rules")
+    base = base.join(own, ["host", "path"], "left")
     edges = materialize(link_edges(pages, url_col, html_col).distinct(), "url-edges")
     if edges.isEmpty():
         out = base.withColumn("alias_of", F.lit(None).cast("string")).withColumn("_class", F.lit(None).cast("string"))
     else:
-        classes = materialize(connected_components(edges), "url-classes")
-        _, by = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
-        bad = materialize(classes.withColumn("by", by).groupBy("component").agg(F.max(F.when(F.col("by") == "block", 1).otherwise(0)).alias("_bad")), "url-bad")
+        classes = connected_components(edges).withColumn("host", host_of(F.col("node"))).withColumn("path", path_of(F.col("node")))
+        judged = classes.join(longest_rules(classes, rules), ["host", "path"], "left")
+        bad = materialize(judged.groupBy("component").agg(F.max(F.when(F.col("own") == "block", 1).otherwise(0)).alias("_bad")), "url-bad")
         named = materialize(classes.join(bad, "component").select(F.col("node").alias("_n"), F.col("component").alias("alias_of"), F.when(F.col("_bad") == 1, "block").alias("_class")), "url-named")
         out = base.join(named, base["_node"] == named["_n"], "left")
-    return out.select(id_col, "host", "path", "rule", F.coalesce("_own", "_class", F.lit(default)).alias("verdict"), "alias_of")
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("own", "_class", F.lit(default)).alias("verdict"), "alias_of")
