@@ -297,19 +297,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     what both sets name is joined exactly.
     """
     found = near_copies(docs, id_col, text_col, **options)
-    at = bitsets.slot(F.col("id"), F.col("key"))
-    goes = materialize(bitsets.of_slots(found.where(~F.col("kept") | (F.col("n") > 1)), at), "copies-gone")
-    doubted = bitsets.with_hit(found.where("kept"), goes, at, "hit").where("hit")
-    stays = materialize(bitsets.of_slots(doubted, at), "copies-doubted")
-
     names = docs.columns
-    key, gone, kept, other_id, other_key = unused([*names, "word", "mask"], "_key", "_gone", "_kept", "_id", "_other")
-    own = bitsets.slot(F.col(quoted(id_col)), F.col(key))
+    (key,) = unused([*names, "id", "n", "kept"], "key")
+    decided = found.select(F.col("id").alias(id_col), F.col("key").alias(key), "n", "kept")
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))))
-    rows = bitsets.with_hit(bitsets.with_hit(rows, goes, own, gone), stays, own, kept)
-    sure = rows.where(F.col(quoted(id_col)).isNull() | ~F.col(gone))
-    chosen = found.where("kept").select(F.col("id").alias(other_id), F.col("key").alias(other_key))
-    asked = rows.where(F.col(quoted(id_col)).isNotNull() & F.col(gone) & F.col(kept))
-    exact = asked.join(chosen, (F.col(quoted(id_col)) == F.col(other_id)) & (F.col(key) == F.col(other_key)), "leftsemi").dropDuplicates([id_col, key])
+    sure, asked = bitsets.settle(rows, [id_col, key], decided, F.col("n") > 1)
     every = [F.col(quoted(c)) for c in names]
-    return sure.select(*every).unionByName(exact.select(*every))
+    return sure.select(*every).unionByName(asked.dropDuplicates([id_col, key]).select(*every))
