@@ -1,14 +1,15 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a whole text: densities of a lexicon (a fixed seed list and words learned from labelled
-rows), hits near a second-person pronoun, capitals, punctuation, obfuscated spellings and length.
+Features of a whole text: densities of a lexicon (a fixed seed list, and words and stems learned from labelled
+rows, for languages that the list lacks), hits near a second-person pronoun, capitals, punctuation, obfuscated spellings and length.
 Training takes at most ``sample`` labelled rows, chosen by a hash of their id: three quarters of
-them fit the lexicon and trees, the quarter left out fits the calibration. Scoring is
-one pass over the texts with no shuffle.
+them fit the lexicon and trees, the quarter left out fits the calibration. A few fixed sentences are always learned from too, so that
+there is a model without labels or with those of one class only. Scoring is one pass over the texts with no shuffle.
 
 A null or blank text has all features zero and gets the model's score for that; rows without a
-label are scored alike; labels with null toxic are not learned from. With fewer than 20 usable
-labels, or only one class, the score is 0.9 for texts with a seed-lexicon hit and 0.1 otherwise.
+label are scored alike; labels with null toxic are not learned from; a label on several texts, or several labels of one, count each
+(of very many repeated rows twice the sample at most). Very long texts are measured whole; equal texts get equal scores; repeated rows stay;
+an empty table gives an empty result; other columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import text_batches
+from pagelight.llm.common import COMMON_WORDS, quoted, text_batches
 
 SAMPLE, THRESHOLD = 20_000, 0.7
+#: Letters that a stem has, and what a learned word or stem must have: so much evidence (nats, over the share of toxic texts), in
+#: so many toxic texts, which are so much of all that have it. At most so many are learned.
+STEM, EVIDENCE, LEAST, SHARE, LEARNED = 5, 13.0, 4, 0.8, 400
 #: Seed lexicon and second-person pronouns in the corpus's languages (fixed word lists).
 LEXICON = frozenset("idiot moron stupid scum trash loser pathetic disgusting worthless clown dumb imbecile ignorant connard imbécile débile ordure minable trottel dummkopf abschaum idiota estúpido basura imbécil patético".split())
 SECOND = frozenset("you your yours yourself u ur tu toi te ton vous votre du dich dir dein ihr euch tú ti usted vosotros".split())
@@ -32,15 +36,26 @@ _PLAIN = str.maketrans("@$!013457*", "asioleasti")
 N_FEATURES = 12
 
 
+def _stem(word: str) -> str:
+    """A longer word's beginning, as a lexicon entry."""
+    return word[:STEM] + "*"
+
+
+def entries(text: str) -> set[str]:
+    """The words of a text and the stems of its longer words."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {_stem(w) for w in words if len(w) > STEM}
+
+
 def features(text: str, learned: frozenset = frozenset()) -> list[float]:
     words = _WORD.findall(text.lower())
     n = max(len(words), 1)
     kinds = set(words)
     masked = _MASKED.findall(text)
     undone = [re.sub(r"[^\w]", "", m.lower().translate(_PLAIN)) for m in masked]
-    hidden = sum(w in LEXICON or w in learned for w in undone)
+    hidden = sum(w in LEXICON or w in learned or _stem(w) in learned for w in undone)
     seed = own = near = 0
-    seed_kinds, own_kinds = kinds & LEXICON, kinds & learned
+    seed_kinds, own_kinds = kinds & LEXICON, {w for w in kinds if w in learned or (len(w) > STEM and _stem(w) in learned)} if learned else kinds & learned
     if seed_kinds or own_kinds:
         hits = [i for i, w in enumerate(words) if w in seed_kinds or w in own_kinds]
         seed = sum(words[i] in seed_kinds for i in hits)
@@ -129,24 +144,27 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             m, w, _, last = blocks.pop()
             b = blocks[-1]
             b[0], b[1], b[3] = (b[0] * b[1] + m * w) / (b[1] + w), b[1] + w, last
+    # each step at the mean score of its rows, so that values in between are told apart
     xs, ys = [], []
     for m, w, a, b in blocks:
-        smooth = (m * w + 0.5) / (w + 1.0)
-        xs += [s[a], s[b]]
-        ys += [smooth, smooth]
+        xs.append(float((s[a : b + 1] * weight[a : b + 1]).sum() / w))
+        ys.append((m * w + 0.5) / (w + 1.0))
     return np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
 class ToxicityModel:
-    def __init__(self, learned=frozenset(), trees: Trees | None = None, steps=None) -> None:
+    def __init__(self, learned: frozenset, trees: Trees, steps: tuple[np.ndarray, np.ndarray]) -> None:
         self.learned, self.trees, self.steps = learned, trees, steps
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        if self.trees is None:
-            return np.where(x[:, 0] > 0, 0.9, 0.1)
-        m = self.trees.margin(x)
-        # the tree margin breaks ties within a calibration step without leaving its value's neighbourhood
-        return np.clip(np.interp(m, *self.steps) + 1e-4 * (1 / (1 + np.exp(-m)) - 0.5), 0.0, 1.0)
+        return np.clip(np.interp(self.trees.margin(x), *self.steps), 0.0, 1.0)
+
+
+def prior_rows() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of fixed sentences, insults and plain words: what the trees know without labels."""
+    rude = [f"you are a {w} and everyone knows it" for w in sorted(LEXICON)]
+    calm = [" ".join(COMMON_WORDS[(7 * i + 3 * j) % len(COMMON_WORDS)] for j in range(12)) for i in range(len(rude) - 2)] + ["", "you and your friends"]
+    return np.array([features(t) for t in rude + calm]), np.array([1.0] * len(rude) + [0.0] * len(calm))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
@@ -159,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     def words(batches):
         for b in batches:
             texts = [x.as_py() or "" for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[w for w in set(_WORD.findall(t.lower())) if len(w) < 40] for t in texts], pa.list_(pa.string()))], ["_id", "_toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(entries(t)) for t in texts], pa.list_(pa.string()))], ["_id", "_toxic", "words"])
 
     # at most `sample` ids, so the broadcast is bounded
     texts = docs.select(F.col("doc_id").alias("_d"), F.col("text").cast("string").alias("_t")).join(F.broadcast(rows), F.col("_d") == F.col("_id")).select("_id", "_toxic", "_t")
@@ -167,7 +185,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     half = F.crc32(F.concat(F.lit("part:"), F.col("_id")).cast("binary")) % 4
     fit = texts.where(half != 3)
     counted = fit.mapInArrow(words, "_id string, _toxic int, words array<string>").select("_toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("_toxic").alias("bad"), F.count("*").alias("n"))
-    top = counted.where("bad >= 8 and bad >= 0.8 * n").orderBy(F.desc("bad"), "word").limit(100).collect()
+    toxic = rows.agg(F.avg("_toxic")).first()[0] or 0.5  # of at most `sample` labels
+    evidence = F.col("bad") * F.log(F.col("bad") / F.col("n") / toxic)
+    good = (F.col("bad") >= LEAST) & (F.col("bad") >= SHARE * F.col("n"))
+    top = counted.where(good & (evidence >= EVIDENCE)).orderBy(evidence.desc(), "word").limit(LEARNED).collect()
     learned = frozenset(r["word"] for r in top) - LEXICON
 
     def measure(batches):
@@ -175,14 +196,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
             x = [features(t.as_py() or "", learned) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["_id", "_toxic", "x"])
 
-    data = texts.mapInArrow(measure, "_id string, _toxic int, x array<double>").select((half == 3).alias("held"), "_toxic", "x", "_id").orderBy("_id", "x").toArrow()
-    if data.num_rows < 20:
-        return ToxicityModel()
-    x = np.array(data.column("x").to_pylist(), float)
-    y = np.array(data.column("_toxic").to_pylist(), float)
-    held = np.array(data.column("held").to_pylist(), bool)
-    if not 0 < y[~held].mean() < 1 or not held.any():
-        return ToxicityModel()
+    data = texts.mapInArrow(measure, "_id string, _toxic int, x array<double>").select((half == 3).alias("held"), "_toxic", "x", "_id").orderBy("_id", "x").limit(2 * sample).toArrow()
+    own, known = prior_rows()
+    x = np.concatenate((np.array(data.column("x").to_pylist(), float).reshape(-1, N_FEATURES), own))
+    y = np.concatenate((np.array(data.column("_toxic").to_pylist(), float), known))
+    held = np.concatenate((np.array(data.column("held").to_pylist(), bool), np.arange(len(own)) % 4 == 3))
     trees = Trees().fit(x[~held], y[~held])
     return ToxicityModel(learned, trees, isotonic(trees.margin(x[held]), y[held]))
 
@@ -199,8 +217,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             s = m.scores(np.array([features(t.as_py() or "", m.learned) for t in b.column(2)], float).reshape(-1, N_FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    held = F.coalesce(F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return docs.select(F.col(quoted(id_col)), held.alias("held_out"), F.col(quoted(text_col)).cast("string").alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
