@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagelight.llm.common import text_batches
 
-#: The published byte-level pre-token pattern (fixed value).
+#: The published byte-level pre-token pattern (fixed value); files that name another way of cutting are refused.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE, CACHED_LENGTH = 200_000, 40
 
@@ -40,6 +40,9 @@ class ByteBpe:
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         v = self.vocab
         self.ranks = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
+        wanted = {"model": model.get("type"), "pre_tokenizer": (spec.get("pre_tokenizer") or {}).get("type"), "decoder": (spec.get("decoder") or {}).get("type")}
+        if wanted != {"model": "BPE", "pre_tokenizer": "ByteLevel", "decoder": "ByteLevel"} or spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError(f"only plain byte-level BPE files are read, not {wanted}")
         chars = _byte_chars()
         self.first = [v[c] for c in chars]
         back = {c: b for b, c in enumerate(chars)}

@@ -10,15 +10,20 @@ value with all that the index holds, and keeps the answer; it finds every item w
 A window with similarity s has 2s / (1 + s) of its shingles in common with its item, so windows
 with fewer shingles known to the benchmark's items of their length are not fingerprinted; this loses nothing.
 
-The items are broadcast; ``MAX_ITEM_WORDS`` bounds them, a larger benchmark is run in parts. Items and
+A text shorter than an item is one window, the whole text.
+
+The items are broadcast; a benchmark of more than ``PART_CHARS`` is dealt into parts by a hash, and each part's index sees all texts. Items and
 texts that are null or have no words match nothing; items under five words are one shingle of
-their own length; repeated rows each get their result.
+their own length; of windows of equal similarity the first is given; repeated rows each get their result (repeated items one); an empty table gives an
+empty result; other columns are ignored, and where the id is called item_id the item's column gets another name.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import text_batches
+from pagelight.llm.common import quoted, text_batches, unused
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
-MAX_ITEM_WORDS = 5_000_000
+#: Characters of items that are indexed at a time.
+PART_CHARS = 16_000_000
 _WORD = re.compile(r"[^\W_]+")
 _CHUNK = 1 << 15
 #: Item positions kept of block values looked up before, 8 bytes each.
@@ -121,6 +127,9 @@ class Index:
             if not hit.any():
                 continue
             places = np.nonzero(hit)[0]
+            for length in [n for n in self.of_length if min(n, self.size) == size and n > len(words)]:
+                if len(s) >= self.similarity * (length - size + 1) - 1e-9:
+                    self._whole(s, length, size, best)
             for length in [n for n in self.of_length if min(n, self.size) == size and n <= len(words)]:
                 n = length - size + 1
                 own = self.of_length_known[length]
@@ -133,6 +142,19 @@ class Index:
                     self._windows(s, starts[at : at + _CHUNK], n, self.of_length[length], best)
         return best
 
+    def _whole(self, s, length, size, best) -> None:
+        """A text that is shorter than the items of a length, as one window."""
+        own, n = self.of_length_known[length], length - size + 1
+        if (own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum() < self.similarity / (1 + self.similarity) * (len(s) + n) - 1e-9:
+            return
+        text = Counter(s.tolist())
+        for x in self.within(_pack(_bits(s).sum(axis=0, dtype=np.int64)[None, :], len(s))[0]).tolist():
+            if x in self.of_length[length]:
+                common = (text & self.shingles[x]).total()
+                sim = common / (len(s) + n - common)
+                if sim >= self.similarity - 1e-12 and (x not in best or sim > best[x][0]):
+                    best[x] = (sim, 0)
+
     def _windows(self, s, starts, n, wanted, best) -> None:
         # runs of neighbouring windows share their running bit counts
         for run in np.split(starts, np.nonzero(np.diff(starts) > n)[0] + 1):
@@ -152,45 +174,58 @@ class Index:
                                 best[x] = (sim, start)
 
 
-def index_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> Index:
-    words = benchmark.select(F.sum(F.size(F.split(F.col(text_col), r"\s+"))).alias("n")).first()["n"] or 0
-    if words > MAX_ITEM_WORDS:
-        raise ValueError(f"{words} words in the benchmark; index at most {MAX_ITEM_WORDS} at a time")
-    rows = benchmark.select(id_col, F.col(text_col).cast("string")).distinct().orderBy(id_col, text_col).collect()
-    return Index([tuple(r) for r in rows], size, similarity, radius)
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, part_chars: int = PART_CHARS) -> Iterator[Index]:
+    """The benchmark's index, or its parts one after the other."""
+    items = benchmark.select(F.col(quoted(id_col)).alias("item"), F.col(quoted(text_col)).cast("string").alias("t"))
+    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    parts = -(-chars // part_chars) or 1
+    for p in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(parts)) == p)
+        yield Index([tuple(r) for r in own.distinct().orderBy("item", "t").collect()], size, similarity, radius)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id_col, item_id, similarity, window_start): the best window of each document and item that reach the similarity."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index_of(benchmark, **options))
-    kind = docs.schema[id_col].dataType
-    item = benchmark.schema["item_id"].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
+    whole = benchmark.schema[options.get("id_col", "item_id")].dataType.simpleString() != "string"
+    names = [id_col, *unused([id_col], "item_id", "similarity", "window_start")]
+    rows = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("_t" if id_col != "_t" else "_text"))
+
+    def found(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches):
-        index = shared.value
-        for b in batches:
-            ids, items, sims, starts = [], [], [], []
-            for i, t in enumerate(b.column(1)):
-                for x, (sim, start) in sorted(index.matches(t.as_py() or "").items()):
-                    ids.append(i)
-                    items.append(index.ids[x])
-                    sims.append(sim)
-                    starts.append(start)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(items, pa.string() if item == "string" else pa.int64()), pa.array(sims, pa.float64()), pa.array(starts, pa.int64())], [id_col, "item_id", "similarity", "window_start"])
+        def run(batches):
+            index = shared.value
+            for b in batches:
+                ids, items, sims, starts = [], [], [], []
+                for i, t in enumerate(b.column(1)):
+                    for x, (sim, start) in sorted(index.matches(t.as_py() or "").items()):
+                        ids.append(i)
+                        items.append(index.ids[x])
+                        sims.append(sim)
+                        starts.append(start)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(items, pa.int64() if whole else pa.string()), pa.array(sims, pa.float64()), pa.array(starts, pa.int64())], names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, item_id {'string' if item == 'string' else 'long'}, similarity double, window_start long")
+        types = [kind, "long" if whole else "string", "double", "long"]
+        return rows.mapInArrow(run, ", ".join(f"{quoted(n)} {k}" for n, k in zip(names, types)))
+
+    return reduce(DataFrame.unionByName, map(found, indexes(benchmark, **options)))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs in which no item is found, all columns as they are."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index_of(benchmark, **options))
-    at = docs.columns.index(text_col)
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def without(docs: DataFrame, index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches):
+            index = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not index.matches(t.as_py() or "") for t in b.column(at)], pa.bool_()))
 
-    def run(batches):
-        index = shared.value
-        for b in batches:
-            yield b.filter(pa.array([not index.matches(t.as_py() or "") for t in b.column(at)], pa.bool_()))
+        return docs.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return reduce(without, indexes(benchmark, **options), docs)
