@@ -127,8 +127,8 @@ class Centroids:
         place = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1, kind="stable")
         rows, lists = [], []
         flat, back = np.unique(true, return_inverse=True)
-        for at in range(0, len(flat), 4096):
-            r, c = self.lists(sample[flat[at : at + 4096]])
+        for at in range(0, len(flat), 128):
+            r, c = self.lists(sample[flat[at : at + 128]])
             rows.append(r + at)
             lists.append(c)
         rows, lists = np.concatenate(rows), np.concatenate(lists)
@@ -173,8 +173,8 @@ def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", ve
         def run(batches):
             for b in batches:
                 x = b.column("v").flatten().to_numpy().reshape(-1, int(width))
-                for at in range(0, len(x), 256):
-                    rows, lists = search(x[at : at + 256])
+                for at in range(0, len(x), 128):
+                    rows, lists = search(x[at : at + 128])
                     took = pa.array(rows + at)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(took), b.column("v").take(took), pa.array(lists, pa.int32())], [out_ids, "v", "list"])
 
