@@ -15,6 +15,7 @@ names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | DataFram
     """(kind, rule_host, rule_path)."""
     if isinstance(rules, DataFrame):
         return rules.toDF("kind", "rule_host", "rule_path")
-    return spark.createDataFrame(rules or [], "kind string, rule_host string, rule_path string")
+    columns = zip(*rules) if rules else ((), (), ())
+    return spark.createDataFrame(pa.table({n: pa.array(c, pa.string()) for n, c in zip(("kind", "rule_host", "rule_path"), columns)}))
 
 
 def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -77,21 +79,22 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.contains("/."), F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))).otherwise(path)
 
 
-def resolved(target: Column, url: Column) -> Column:
-    """A link's target as seen from url."""
-    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    path = path_of(url)
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
-    whole = (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
-        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
-        .when(target.startswith("/"), F.concat(root, target))
-        .when(target.startswith("?"), F.concat(root, F.when(path == "", F.lit("/")).otherwise(path), target))
-        .otherwise(F.concat(root, folder, target))
+def resolved(rows: DataFrame, target: str, url: str, out: str) -> DataFrame:
+    """rows with the column `out`: the link in `target` as seen from `url`. Step by step, as each step is used several times."""
+    t, root, path, whole = F.col(target), F.col("_root"), F.col("_path"), F.col("_whole")
+    rows = rows.withColumn("_root", F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)).withColumn("_path", path_of(F.col(url)))
+    rows = rows.withColumn("_folder", F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)))
+    rows = rows.withColumn(
+        "_whole",
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+        .when(t.startswith("//"), F.concat(F.regexp_extract(root, r"(?s)^(.*?:)//", 1), t))
+        .when(t.startswith("/"), F.concat(root, t))
+        .when(t.startswith("?"), F.concat(root, F.when(path == "", F.lit("/")).otherwise(path), t))
+        .otherwise(F.concat(root, F.col("_folder"), t)),
     )
-    own = path_of(whole)
-    head = F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.concat(head, _without_dots(own), F.substr(whole, F.length(head) + F.length(own) + 1))
+    rows = rows.withColumn("_head", F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1)).withColumn("_own", path_of(whole))
+    rest = F.substr(whole, F.length("_head") + F.length("_own") + 1)
+    return rows.withColumn(out, F.concat("_head", _without_dots(F.col("_own")), rest)).drop("_root", "_path", "_folder", "_whole", "_head", "_own")
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -105,8 +108,9 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     found = found.where(F.size("tags") > 0).select("url", base.alias("base"), F.concat(canonical, refresh).alias("targets"))
     found = found.select("url", F.explode(F.array_distinct(F.filter("targets", lambda t: t != ""))).alias("target"), "base")
     plain = lambda c: F.regexp_replace(c, "&amp;", "&")
-    seen = F.when(F.col("base").isNotNull() & (F.col("base") != ""), resolved(plain(F.col("base")), F.col("url"))).otherwise(F.col("url"))
-    found = found.where(~F.col("target").startswith("#")).select(canonical_form(F.col("url")).alias("u"), canonical_form(resolved(plain(F.col("target")), seen)).alias("v"))
+    found = resolved(found.where(~F.col("target").startswith("#")).withColumn("base", plain(F.coalesce("base", F.lit("")))), "base", "url", "_based")
+    found = found.withColumn("seen", F.when(F.col("base") != "", F.col("_based")).otherwise(F.col("url"))).withColumn("target", plain(F.col("target")))
+    found = resolved(found, "target", "seen", "to").select(canonical_form(F.col("url")).alias("u"), canonical_form(F.col("to")).alias("v"))
     return found.where("u <> v and v like '%://%'")
 
 
