@@ -111,7 +111,8 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     found = resolved(found.where(~F.col("target").startswith("#")).withColumn("base", plain(F.coalesce("base", F.lit("")))), "base", "url", "_based")
     found = found.withColumn("seen", F.when(F.col("base") != "", F.col("_based")).otherwise(F.col("url"))).withColumn("target", plain(F.col("target")))
     found = resolved(found, "target", "seen", "to").select(canonical_form(F.col("url")).alias("u"), canonical_form(F.col("to")).alias("v"))
-    return found.where("u <> v and v like '%://%'")
+    # written first: a filter moved below the steps would spell each of them out many times
+    return materialize(found.distinct(), "url-edges").where("u <> v and v like '%://%'")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", default: str = "allow") -> DataFrame:
@@ -121,7 +122,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame | None
     base = pages.select(F.col(quoted(id_col)).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical_form(url).alias("_node"))
     own = materialize(longest_rules(base, rules), "url-rules")
     base = base.join(own, ["host", "path"], "left")
-    edges = materialize(link_edges(pages, url_col, html_col).distinct(), "url-edges")
+    edges = link_edges(pages, url_col, html_col)
     if edges.isEmpty():
         out = base.withColumn("alias_of", F.lit(None).cast("string")).withColumn("_class", F.lit(None).cast("string"))
     else:
