@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from pagelight.llm.common import materialize, quoted
 
-SAMPLE, LIST, LEAST = 65_536, 128, 8
+SAMPLE, LIST, LEAST = 65_536, 512, 8
 COPIES, REPLICATE = 4, 1.1
 #: Share of true neighbours that the measured settings find in the sample, and queries that measure it.
-WANTED, MEASURED = 0.97, 512
+WANTED, MEASURED = 0.95, 256
 PART, ASKED, NEIGHBOURS, BEAM = 4096, 2048, 16, 24
 
 
@@ -120,9 +120,13 @@ class Centroids:
         if len(self.points) < 4:
             return
         asked = rng.choice(len(sample), min(MEASURED, len(sample)), replace=False)
-        d = _squares(sample[asked], sample)
-        d[np.arange(len(asked)), asked] = np.inf
-        true = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
+        true = []
+        for at in range(0, len(asked), 32):  # a few at a time: each has a distance to the whole sample
+            own = asked[at : at + 32]
+            d = _squares(sample[own], sample)
+            d[np.arange(len(own)), own] = np.inf
+            true.append(np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k])
+        true = np.concatenate(true)
         away = np.sqrt(_squares(sample[asked], self.points))
         place = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1, kind="stable")
         rows, lists = [], []
@@ -140,7 +144,7 @@ class Centroids:
                 own = lists[first[t] : first[t + 1]]
                 need.append(place[q, own].min() + 1)
                 ratio.append(away[q, own].min() / nearest)
-        self.probes = int(min(len(self.points), np.ceil(np.quantile(need, WANTED) * 1.25)))
+        self.probes = int(min(len(self.points), np.ceil(np.quantile(need, WANTED))))
         self.prune = float(np.quantile(ratio, WANTED + (1 - WANTED) / 2))
 
 
