@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import COMMON_WORDS, ascii_lower
+from pagelight.llm.common import COMMON_WORDS, ascii_lower, materialize
 
 CONFIDENT, CONFIRMED = 0.5, 0.6
 #: Notices by family (fixed texts of the licences' own notices).
@@ -105,6 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confid
     lines = docs.where(F.col(text_col).rlike(ANCHOR)).select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "_line"))
     plain = F.filter(F.transform(F.regexp_extract_all(ascii_lower(F.col("_line")), F.lit(r"[a-z0-9.+-]+"), 0), lambda w: F.regexp_replace(w, r"^[.+-]+|[.+-]+$", "")), lambda w: w != "")
     lines = lines.where(F.col("_line").rlike(ANCHOR)).select("_id", "_row", "paragraph", plain.alias("_w"))
+    lines = materialize(lines, "license-lines")  # read twice below; row numbers must be those of one scan
     grams = lambda n: f"if(size(_w) >= {n}, transform(sequence(1, size(_w) - {n - 1}), i -> array_join(slice(_w, i, {n}), ' ')), cast(array() as array<string>))"
     score_table = F.broadcast(_table(spark, [(f, ",".join(map(str, w))) for f, w in sorted(weights.items())], ["feature", "_ws"]).select("feature", F.transform(F.split("_ws", ","), lambda v: v.cast("double")).alias("_ws")))
     n = len(FAMILIES)
