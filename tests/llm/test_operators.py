@@ -382,7 +382,7 @@ def test_ann_prunes_and_finds(spark, tmp_path):
     sizes = np.bincount(model.lists(m)[1], minlength=len(model.points))
     asked = np.arange(0, len(m), 100)
     compared = sizes[model.probed(m[asked])[1]].sum() / len(asked) / len(m)
-    assert compared < 0.2 and len(model.points) > 100, compared
+    assert compared < 0.2 and len(model.points) == len(m) // ann.LIST, compared
     pq.write_table(pa.table({"vec_id": np.arange(len(m)), "embedding": pa.FixedSizeListArray.from_arrays(m.ravel(), 32).cast(pa.list_(pa.float64()))}), tmp_path / "m.parquet")
     df = spark.read.parquet(f"file://{tmp_path}/m.parquet")
     got = {}
