@@ -243,6 +243,53 @@ def test_license_notices_of_the_documents(spark):
     assert got == {i: f for i, (_, f) in enumerate(lines)}
 
 
+def test_license_anchors_lose_no_template():
+    assert [t for texts in licenses.TEMPLATES.values() for t in texts if licenses.unanchored(t) >= licenses.CONFIRMED] == []
+
+
+WRAPPED_NOTICES = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "bsd": """Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.""",
+}
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    """All lines with an anchor of a wrapped notice have its family; a line beside it that has nothing of it stays unknown, and a
+    notice of another family beside it keeps its own."""
+    texts = [(f, f"some prose before\n\n\n{t}\nthe license plate of the car\nLicensed under the Apache License, Version 2.0.") for f, t in WRAPPED_NOTICES.items()]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    for i, (family, text) in enumerate(texts):
+        n = text.count("\n")
+        mine = {r["paragraph"]: r["family"] for r in got if r["doc_id"] == i}
+        assert mine.pop(n) == "apache" and mine.pop(n - 1) == "unknown"
+        assert len(mine) >= 3 and set(mine.values()) == {family}, (family, mine)
+
+
+def test_licenses_of_more_families(spark):
+    lines = [
+        ("Licensed under the GNU AGPL v3.", "agpl"), ("SPDX-License-Identifier: ISC", "isc"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "epl"), ("Licensed under the Eclipse Public License, Version 2.0", "epl"),
+        ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "mit"),
+        ("This text is available under CC BY-SA 4.0.", "cc-by-sa"), ("Distributed under the Boost Software License, Version 1.0.", "boost"), ("the software of the phone was old and she knew the terms", "unknown"),
+    ]
+    got = {r["doc_id"]: r["family"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")).collect()}
+    assert got == {i: f for i, (_, f) in enumerate(lines)}
+
+
 def test_toxicity_held_out(spark, sf01):
     docs, labels = spark.read.parquet(f"{sf01}/documents.parquet"), spark.read.parquet(f"{sf01}/labels.parquet")
     got = toxicity.score(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").where("held_out").collect()
