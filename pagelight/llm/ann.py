@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import materialize, quoted
+from pagelight.llm.common import Scratch, materialize, quoted
 
 SAMPLE, LIST, LEAST = 65_536, 512, 8
 COPIES, REPLICATE = 4, 1.1
@@ -42,6 +42,18 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None, :], 0)
 
 
+def _within(y: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of y, the rows of x that can be within its (k + 1)-th smallest distance (its own vector may be one of them), ties included.
+    A matrix product tells, with room for its rounding; products beyond the range of doubles keep all rows."""
+    if len(x) <= k + 1:
+        return [np.arange(len(x))] * len(y)
+    with np.errstate(over="ignore", invalid="ignore"):
+        sx, sy = (x**2).sum(axis=1), (y**2).sum(axis=1)
+        rough = sx[None, :] - 2 * (y @ x.T) + sy[:, None]
+        cut = np.partition(rough, k, axis=1)[:, k] + 1e-9 * (sx.max() + sy)
+        return [np.nonzero(~(r > c))[0] for r, c in zip(rough, cut)]
+
+
 class Centroids:
     """Balanced clusters of a sample, their graph, and the search settings measured on the sample."""
 
@@ -156,13 +168,20 @@ def usable(column):
 
 def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, list_size: int = LIST) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that the condition `queries` holds for."""
+    with Scratch(vectors.sparkSession, "ann") as scratch:
+        return materialize(_nearest(scratch, vectors, queries, k, id_col, vector_col, sample, list_size), "ann-found")
+
+
+def _nearest(scratch: Scratch, vectors: DataFrame, queries, k: int, id_col: str, vector_col: str, sample: int, list_size: int) -> DataFrame:
     spark = vectors.sparkSession
+    # vectors stay as narrow as they come until a task measures them
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     ok = vectors.where(F.col(quoted(id_col)).isNotNull() & usable(F.col(quoted(vector_col))))
-    ok = materialize(ok.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).distinct(), "ann-vectors")
+    ok = scratch.write(ok.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast(kind).alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).distinct(), "vectors")
     key = F.xxhash64("v")
     ranked = Window.partitionBy("key", "v").orderBy("id")
     distinct = ok.select("id", "v", key.alias("key")).distinct().withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
-    groups = materialize(distinct.groupBy("key", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids", "v"), "ann-groups")
+    groups = scratch.write(distinct.groupBy("key", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids", "v"), "groups")
     drawn = groups.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").toArrow().column("v").combine_chunks()
     empty = "query_id long, rank int, vec_id long, score double"
     if not len(drawn):
@@ -170,13 +189,13 @@ def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", ve
     lengths = np.diff(drawn.offsets.to_numpy())
     width = np.bincount(lengths).argmax()
     n = groups.count()
-    model = Centroids(drawn.filter(pa.array(lengths == width)).flatten().to_numpy().reshape(-1, int(width)), n, k, list_size)
+    model = Centroids(drawn.filter(pa.array(lengths == width)).flatten().to_numpy().reshape(-1, int(width)).astype(np.float64), n, k, list_size)
     fitted = spark.sparkContext.broadcast(model)
 
     def batched(search, out_ids: str):
         def run(batches):
             for b in batches:
-                x = b.column("v").flatten().to_numpy().reshape(-1, int(width))
+                x = b.column("v").flatten().to_numpy().reshape(-1, int(width)).astype(np.float64)
                 for at in range(0, len(x), 128):
                     rows, lists = search(x[at : at + 128])
                     took = pa.array(rows + at)
@@ -185,43 +204,44 @@ def nearest(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", ve
         return run
 
     sized = F.size("v") == int(width)
-    asked = ok.where(F.col("q") & sized).select("id", "v").mapInArrow(batched(lambda x: fitted.value.probed(x), "query_id"), "query_id long, v array<double>, list int")
-    lists = groups.where(sized).mapInArrow(batched(lambda x: fitted.value.lists(x), "ids"), "ids array<long>, v array<double>, list int")
-    asked, lists = materialize(asked, "ann-asked"), materialize(lists, "ann-lists")
+    asked = ok.where(F.col("q") & sized).select("id", "v").mapInArrow(batched(lambda x: fitted.value.probed(x), "query_id"), f"query_id long, v {kind}, list int")
+    lists = groups.where(sized).mapInArrow(batched(lambda x: fitted.value.lists(x), "ids"), f"ids array<long>, v {kind}, list int")
+    asked, lists = scratch.write(asked, "asked"), scratch.write(lists, "lists")
     # how many parts of queries and of vectors each list has; at most a row for each centroid
     heavy = asked.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("qs"), F.lit(1).alias("vs")).unionByName(lists.groupBy("list").agg(F.lit(1).alias("qs"), F.ceil(F.count("*") / PART).cast("int").alias("vs")))
-    heavy = F.broadcast(materialize(heavy.groupBy("list").agg(F.max("qs").alias("qs"), F.max("vs").alias("vs")), "ann-heavy"))
+    heavy = F.broadcast(scratch.write(heavy.groupBy("list").agg(F.max("qs").alias("qs"), F.max("vs").alias("vs")), "heavy"))
     deal = lambda column, parts: F.pmod(F.xxhash64(column), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     asked = asked.join(heavy, "list").select("query_id", "v", "list", deal(F.col("query_id"), "qs").alias("qp"), every("vs").alias("vp"))
     lists = lists.join(heavy, "list").select("ids", "v", "list", deal(F.col("ids")[0], "vs").alias("vp"), every("qs").alias("qp"))
 
     def matrix(column) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy().reshape(-1, int(width))
+        return column.combine_chunks().flatten().to_numpy().reshape(-1, int(width)).astype(np.float64)
 
     def search(asking: pa.Table, listed: pa.Table) -> pa.Table:
         qs, ids, scores = [], [], []
         if asking.num_rows and listed.num_rows:
             x, members = matrix(listed.column("v")), listed.column("ids").to_pylist()
             y, names = matrix(asking.column("v")), asking.column("query_id").to_pylist()
-            for q, v in zip(names, y):
-                d = np.sqrt(((x - v) ** 2).sum(axis=1))
-                # only distinct vectors up to the (k + 1)-th distance can matter: the query's own vector may be one
-                cut = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-                best = sorted((d[i], m) for i in np.nonzero(d <= cut)[0].tolist() for m in members[i] if m != q)[:k]
-                qs += [q] * len(best)
-                ids += [m for _, m in best]
-                scores += [s for s, _ in best]
+            for at in range(0, len(y), 128):
+                asked_now = y[at : at + 128]
+                for q, v, near in zip(names[at : at + 128], asked_now, _within(asked_now, x, k)):
+                    d = np.sqrt(((x[near] - v) ** 2).sum(axis=1))
+                    cut = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
+                    best = sorted((d[i], m) for i in np.nonzero(d <= cut)[0].tolist() for m in members[near[i]] if m != q)[:k]
+                    qs += [q] * len(best)
+                    ids += [m for _, m in best]
+                    scores += [s for s, _ in best]
         return pa.table({"query_id": pa.array(qs, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     found = asked.groupBy("list", "qp", "vp").cogroup(lists.groupBy("list", "qp", "vp")).applyInArrow(search, "query_id long, vec_id long, score double")
     # replicas of a candidate fall together; at most probes * parts * k rows a query
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = materialize(once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-best")
+    best = scratch.write(once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
     # queries whose lists held too little: exact search. Of repeated ids, the answers go to the id
     full = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-    short = materialize(ok.where(F.col("q") & sized).select("id", "v").join(full, "id", "left_anti"), "ann-short")
+    short = scratch.write(ok.where(F.col("q") & sized).select("id", "v").join(full, "id", "left_anti"), "short")
     if short.isEmpty():
         return best
     blocks = spark.sparkContext.defaultParallelism

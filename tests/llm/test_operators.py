@@ -454,6 +454,21 @@ def test_ann_far_off_queries_get_all_answers(spark):
     assert got == [int(i) for i in np.argsort(d, kind="stable") if i][:10]
 
 
+def test_ann_rough_distances_lose_nothing():
+    rng = np.random.default_rng(3)
+    near = 1e6 + rng.normal(size=(300, 16)) * 1e-2  # far from the origin: products round away most of the differences
+    wide = rng.normal(size=(300, 16))
+    wide[::7] *= 1e200  # squares beyond the range of doubles
+    tied = np.repeat(rng.normal(size=(20, 16)), 15, axis=0)
+    with np.errstate(over="ignore"):
+        for x in (near, wide, tied, wide[:11]):
+            for q, kept in zip(x[:40], ann._within(x[:40], x, 10)):
+                d = np.sqrt(((x - q) ** 2).sum(axis=1))
+                cut = np.partition(d, 10)[10]
+                assert set(np.nonzero(d <= cut)[0].tolist()) <= set(kept.tolist())
+    assert max(map(len, ann._within(tied[:40], tied, 10))) == 15
+
+
 def test_ann_awkward(spark):
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, float("nan")]), (5, [0.0, 1.0]), (6, [1.0, None]), (None, [1.0, 1.0]), (7, [1.0, 0.0])]
     df = spark.createDataFrame([(*x, 1) for x in v], "vec_id long, embedding array<float>, list int")
