@@ -86,8 +86,14 @@ class Centroids:
     def _best(self, x: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each row's ids, repeats left out, the closest to its vector, in order."""
         ids = np.sort(ids, axis=1)
+        again = np.zeros(ids.shape, bool)
+        again[:, 1:] = ids[:, 1:] == ids[:, :-1]
+        # neighbours share most of their links: repeats go behind the others, and columns of nothing else aren't measured
+        width = max((~again).sum(axis=1).max(initial=0), min(most, ids.shape[1]))
+        front = np.argsort(again, axis=1, kind="stable")[:, :width]
+        ids, again = np.take_along_axis(ids, front, 1), np.take_along_axis(again, front, 1)
         d = np.sqrt(((self.points[ids] - x[:, None, :]) ** 2).sum(axis=2))
-        d[:, 1:][ids[:, 1:] == ids[:, :-1]] = np.inf
+        d[again] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :most]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
 
