@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelight.llm import ann, bpe, decontam, licenses, secrets, sharding, simhash, toxicity, urls, warc
+from pagelight.llm import ann, bpe, decontam, licenses, merkle, records, secrets, sharding, simhash, sql, toxicity, urls, variants, warc
 from pagelight.llm.common import table
 
 
@@ -52,7 +52,24 @@ def op10_ann(spark, sf_dir):
     return ann.nearest(vectors, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_simhash, op5_licenses, op6_toxicity, op7_secrets, op8_urls, op9_bpe, op10_ann)}
+def op11_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.checked(merkle.manifest(docs, changed={"text": tampered}))
+    hexed = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")]
+    return found.select(F.col("id").alias("doc_id"), "source", "pos", *hexed, "proof_sha256", "verified")
+
+
+def op12_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_records(spark, sf_dir):
+    return records.round_trip(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_ALL = (op1_sharding, op2_decontamination, op3_warc, op4_simhash, op5_licenses, op6_toxicity, op7_secrets, op8_urls, op9_bpe, op10_ann, op11_merkle, op12_variants, op13_records)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WARC_SQL = """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
@@ -78,4 +95,4 @@ SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict, NULL::VARC
 
 #: Searches by exact SQL are given only where the operator's result is exact. op8's SQL has the rules alone: pages hold no redirects
 #: or canonical links in these tables; tests compare aliases with brute force.
-ORACLE_SQL = {"op3_warc": _WARC_SQL, "op8_urls": _URL_SQL}
+ORACLE_SQL = {"op3_warc": _WARC_SQL, "op8_urls": _URL_SQL, "op11_merkle": sql.merkle(), "op12_variants": sql.variants()}
