@@ -10,8 +10,8 @@ ids. They go through Spark's own writer with its commit, so a lost or repeated t
 The index is made from the written files: (id, file, file_no, offset, length, n_tokens, start); start counts the ids of all documents before it. A loader shuffles the index
 and fetches single frames (`fetch`); `read` goes over whole files and verifies every checksum.
 
-Encoding. Texts are cut into pre-tokens as the tokenizer file says; each different one is encoded by the tokenizers library once a worker
-and kept, up to ``CACHE`` of them. A file with another way of cutting is refused.
+Encoding. Texts are cut into pre-tokens as the tokenizer file says; each different one is encoded by the tokenizers library's model
+and kept by the worker, up to twice ``CACHE`` of them. A file with another way of cutting is refused.
 
 A null text is empty: it has the end id alone. Null ids come first. Rows of one id follow by a hash of their texts; equal rows are
 interchangeable. A very long text is a frame of its own size; files hold about ``FILE_BYTES`` of text besides. An empty table gives no frame and an
@@ -20,12 +20,14 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,19 +61,18 @@ def _through(state: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return tables[0][state & 255] ^ tables[1][(state >> 8) & 255] ^ tables[2][(state >> 16) & 255] ^ tables[3][state >> 24]
 
 
-def _shifts() -> list[np.ndarray]:
-    """For LANE bytes and each doubling of them: what each byte of a state becomes when that many zeros follow."""
-    one = np.arange(256, dtype=np.uint32)
-    tables = np.stack([one << np.uint32(8 * k) for k in range(4)])
-    for _ in range(LANE):
+def _zeros(count: int) -> np.ndarray:
+    """What each byte of a state becomes when `count` zeros follow."""
+    tables = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
+    for _ in range(count):
         tables = _STEP[tables & 255] ^ (tables >> 8)
-    out = [tables]
-    for _ in range(40):
-        out.append(_through(out[-1], out[-1]))
-    return out
+    return tables
 
 
-_ZEROS = _shifts()
+#: For the four bytes of a word; for LANE bytes and each doubling of them.
+_FOUR, _ZEROS = _zeros(4), [_zeros(LANE)]
+for _ in range(40):
+    _ZEROS.append(_through(_ZEROS[-1], _ZEROS[-1]))
 
 
 def crc32c(parts: list[bytes]) -> np.ndarray:
@@ -92,10 +93,10 @@ def crc32c(parts: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(x for i in whole for x in (bytes(-len(parts[i]) % LANE), parts[i])), np.uint8).copy()
     first = (ends - lanes) * LANE + lanes * LANE - sizes  # zeros before a part don't count, so the start value goes to its first bytes
     data[first[:, None] + np.arange(4)] ^= 255
-    data = data.reshape(-1, LANE)
+    data = data.view("<u4").reshape(-1, LANE // 4)
     state = np.zeros(len(data), np.uint32)
-    for k in range(LANE):
-        state = _STEP[(state ^ data[:, k]) & 255] ^ (state >> 8)
+    for k in range(LANE // 4):
+        state = _through(state ^ data[:, k], _FOUR)
     follow = np.repeat(ends, lanes) - 1 - np.arange(len(data))
     for bit in range(int(follow.max()).bit_length()):
         at = np.flatnonzero(follow >> bit & 1)
@@ -130,8 +131,8 @@ def unpacked(data: bytes) -> tuple[str | None, np.ndarray]:
     return None if n == NO_ID else data[5:at].decode(), np.frombuffer(data, f"<u{data[0]}", offset=at)
 
 
-def cut(data: bytes, name: str) -> tuple[list[tuple[int, int]], list[bytes]]:
-    """((offset, length) of each frame, bodies) of a file; checksums and ends are verified."""
+def cut(data: bytes, name: str, verify: bool = True) -> tuple[list[tuple[int, int]], list[bytes]]:
+    """((offset, length) of each frame, bodies) of a file. Lengths and ends are verified, bodies unless verify is false."""
     places, bodies, lengths, sums, at = [], [], [], [], 0
     view = memoryview(data)
     while at < len(data):
@@ -145,8 +146,10 @@ def cut(data: bytes, name: str) -> tuple[list[tuple[int, int]], list[bytes]]:
         places.append((at, end + 5 - at))
         at = end + 5
     if places:
-        heads, tails = masked(crc32c(lengths)), masked(crc32c(bodies))
-        wrong = np.flatnonzero((heads != [h for h, _ in sums]) | (tails != [t for _, t in sums]))
+        bad = masked(crc32c(lengths)) != [h for h, _ in sums]
+        if verify:
+            bad |= masked(crc32c(bodies)) != [t for _, t in sums]
+        wrong = np.flatnonzero(bad)
         if len(wrong):
             raise ValueError(f"{name}: the checksum of the frame at {places[wrong[0]][0]} is wrong")
     return places, bodies
@@ -161,34 +164,63 @@ def fetch(file: BinaryIO, offset: int, length: int) -> tuple[str | None, np.ndar
 # --- encoding ---------------------------------------------------------------------------------------
 
 
+def _latin() -> str:
+    """The pre-token pattern for texts of code points under 256, with its classes written out."""
+    chosen = lambda kind: "".join(re.escape(chr(c)) for c in range(256) if regex.match(kind, chr(c)))
+    letters, numbers, spaces = chosen(r"\p{L}"), chosen(r"\p{N}"), chosen(r"\s")
+    pattern = bpe.PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
+    return pattern.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+
+
+_latin_pieces, _all_pieces = re.compile(_latin()).findall, regex.compile(bpe.PATTERN).findall
+
+
+def pieces(text: str) -> list[str]:
+    """The pre-tokens of a text without special tokens."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _all_pieces(text)
+    return _latin_pieces(text)
+
+
 class Encoder(dict):
-    """The bytes of the ids of pre-tokens; what is not there yet is encoded when it is asked for."""
+    """The bytes of the ids of pre-tokens. What is not there yet is encoded by the library's model when it is asked for; of a full table the
+    pre-tokens in use move on to the next."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, room: int = CACHE) -> None:
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        own = bpe.tokenizer(path)  # refuses files with another way of cutting
-        self.find, self.special = own.find, own.special
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        library = Tokenizer.from_file(path)
+        self.model, self.room, self.old = library.model, room, {}
+        self.width = 2 if library.get_vocab_size() <= 1 << 16 else 4
+        self.shown = dict(enumerate(bpe._byte_chars()))
+        self.added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        names = sorted(self.added, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+    def packed(self, *ids: int) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.packed(self.library.encode(piece, add_special_tokens=False).ids)
+        found = self.old.pop(piece, None)
+        if found is None:
+            shown = piece if piece.isascii() and piece.isalnum() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+            found = self.packed(*[t.id for t in self.model.tokenize(shown)])
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHE:
+            if len(self) >= self.room:
+                self.old = dict(self)
                 self.clear()
             self[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        parts = self.special.split(text) if self.special else [text]
-        get, find = self.__getitem__, self.find
-        return b"".join(b"".join(map(get, find(p))) if i % 2 == 0 else self[p] for i, p in enumerate(parts))
+        get = self.__getitem__
+        if not self.special or not self.special.search(text):
+            return b"".join(map(get, pieces(text)))
+        parts = self.special.split(text)
+        return b"".join(self.packed(self.added[p]) if i % 2 else b"".join(map(get, pieces(p))) for i, p in enumerate(parts))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -208,6 +240,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     spark = docs.sparkSession
     text_batches(spark)
     tokenizer = tokenizer or bpe.default_path()
+    bpe.ByteBpe(tokenizer)  # refuses files with another way of cutting
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
@@ -215,7 +248,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
 
     def run(batches):
         e = encoder(tokenizer)
-        last = e.packed([end])
+        last = e.packed(end)
         for b in batches:
             bodies = [body(i, e.encode(t.as_py()) + last, e.width) for i, t in zip(b.column(0).to_pylist(), b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(frames(bodies), pa.binary())], ["value"])
@@ -233,7 +266,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("file"), F.regexp_extract(name, r"part-(\d+)", 1).cast("long").alias("file_no"), "content")
 
 
-def _each(files: DataFrame, fields: str, row: Callable[[list[tuple[int, int]], list[bytes]], Iterator[tuple]]) -> DataFrame:
+def _each(files: DataFrame, fields: str, row: Callable[[list[tuple[int, int]], list[bytes]], Iterator[tuple]], verify: bool = True) -> DataFrame:
     """(file, file_no, *fields): row gives the values of every frame of a file."""
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     names = [f.split()[0] for f in fields.split(", ")]
@@ -242,7 +275,7 @@ def _each(files: DataFrame, fields: str, row: Callable[[list[tuple[int, int]], l
     def run(batches):
         for b in batches:
             for file, number, content in zip(*b.columns):
-                rows = list(row(*cut(content.as_py(), file.as_py())))
+                rows = list(row(*cut(content.as_py(), file.as_py(), verify)))
                 if rows:
                     own = [pa.array([file.as_py()] * len(rows), pa.string()), pa.array([number.as_py()] * len(rows), pa.int64())]
                     yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(zip(*rows), types))], ["file", "file_no", *names])
@@ -258,7 +291,7 @@ def _index(scratch: Scratch, spark: SparkSession, path: str, kind: str) -> DataF
             yield name, offset, length, len(ids), before
             before += len(ids)
 
-    found = scratch.write(_each(_files(spark, path), "id string, offset long, length long, n_tokens long, before long", row), "frames")
+    found = scratch.write(_each(_files(spark, path), "id string, offset long, length long, n_tokens long, before long", row, verify=False), "frames")
     sizes = scratch.write(found.groupBy("file_no").agg(F.sum("n_tokens").alias("size")), "sizes")
     starts = running_start(scratch, sizes, "file_no", "size").select(F.col("file_no").alias("_no"), F.col("start").alias("_start"))
     placed = found.join(starts, F.col("file_no") == F.col("_no"))

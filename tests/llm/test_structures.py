@@ -238,6 +238,19 @@ def test_damage_is_seen():
         records.cut(data[:-3], "f")
 
 
+def test_pieces_are_those_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = records.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 50)
+    for k in range(3000):
+        text = "".join(rng.choice(" \n\t'sldrevtm" if rng.random() < 0.5 else chr(rng.randrange(256 if k % 2 else 0x3000))) for _ in range(rng.randint(0, 30)))
+        text = text.replace("\ufeff", "") + rng.choice(("", "<|endoftext|>", " <|endoftext|> x"))
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def expected(rows):
     import public_tokenizers
     from tokenizers import Tokenizer
