@@ -29,19 +29,28 @@ def text_blobs(components: DataFrame) -> DataFrame:
 
 
 def _grown(t: pa.Table) -> pa.Table:
-    """line_no of one page's blobs, from 0 by the top of the line."""
+    """line_no of one page's blobs, from 0 by the top of the line. Only rows that a later blob can still reach are looked at: blobs come by their
+    middles, so none begins more than half the greatest height above the middle of this one."""
     y, x, w, h = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "w", "h"))
+    tops, heights, reach = y.tolist(), h.tolist(), int(h.max(initial=0)) // 2
     top, bottom, row_of = [], [], np.empty(len(y), np.int64)
+    near: list[int] = []  # rows, oldest first
     for i in np.lexsort((t.column("seq").to_numpy(), x, y + h // 2)).tolist():
-        own = (y[i], y[i] + h[i])
-        shared = np.minimum(bottom, own[1]) - np.maximum(top, own[0]) if top else np.empty(0)
-        best = int(np.argmax(shared)) if len(shared) else -1
-        if best < 0 or shared[best] <= 0:
+        first, end = tops[i], tops[i] + heights[i]
+        best, most = -1, 0
+        for row in near:
+            shared = min(bottom[row], end) - max(top[row], first)
+            if shared > most:
+                best, most = row, shared
+        if best < 0:
             best = len(top)
-            top.append(own[0])
-            bottom.append(own[1])
+            top.append(first)
+            bottom.append(end)
+            out_of_reach = first + heights[i] // 2 - reach
+            near = [row for row in near if bottom[row] > out_of_reach]
+            near.append(best)
         row_of[i] = best
-        top[best], bottom[best] = min(top[best], own[0]), max(bottom[best], own[1])
+        top[best], bottom[best] = min(top[best], first), max(bottom[best], end)
     place = np.empty(len(top), np.int64)
     place[np.argsort(top, kind="stable")] = np.arange(len(top))
     return t.append_column("line_no", pa.array(place[row_of].astype(np.int32)))
@@ -70,23 +79,26 @@ def column_middle(x_min, x_max):
 def _columns(t: pa.Table) -> pa.Table:
     """block_no of one page's lines, from 0 by the middle of the column."""
     x0, x1 = (t.column(c).to_numpy().astype(np.int64) for c in ("x_min", "x_max"))
-    left, right, column_of = [], [], np.empty(len(x0), np.int64)
+    left, right, n = np.empty(16, np.int64), np.empty(16, np.int64), 0
+    column_of = np.empty(len(x0), np.int64)
     for i in np.lexsort((t.column("line_no").to_numpy(), t.column("y_min").to_numpy())).tolist():
-        best, most = -1, 0.5
-        for c in range(len(left)):
-            shared = min(x1[i], right[c]) - max(x0[i], left[c])
-            ratio = shared / min(max(x1[i] - x0[i], 1), max(right[c] - left[c], 1))
-            if shared > 0 and ratio > most:
-                best, most = c, ratio
+        a, b = x0[i], x1[i]
+        best = -1
+        if n:
+            shared = np.minimum(b, right[:n]) - np.maximum(a, left[:n])
+            ratio = np.where(shared > 0, shared / np.minimum(max(b - a, 1), np.maximum(right[:n] - left[:n], 1)), 0)
+            best = int(np.argmax(ratio))
+            best = best if ratio[best] > 0.5 else -1
         if best < 0:
-            best = len(left)
-            left.append(x0[i])
-            right.append(x1[i])
+            if n == len(left):
+                left, right = np.concatenate((left, left)), np.concatenate((right, right))
+            best, left[n], right[n] = n, a, b
+            n += 1
         column_of[i] = best
-        left[best], right[best] = min(left[best], x0[i]), max(right[best], x1[i])
-    middle = np.array(left) + (np.array(right) - np.array(left)) // 2
-    place = np.empty(len(left), np.int64)
-    place[np.argsort(middle, kind="stable")] = np.arange(len(left))
+        left[best], right[best] = min(left[best], a), max(right[best], b)
+    middle = left[:n] + np.maximum(right[:n] - left[:n], 0) // 2
+    place = np.empty(n, np.int64)
+    place[np.argsort(middle, kind="stable")] = np.arange(n)
     return t.append_column("block_no", pa.array(place[column_of].astype(np.int32)))
 
 
@@ -98,8 +110,9 @@ def detect_columns(lines: DataFrame) -> DataFrame:
 
 
 def block_boxes(lines: DataFrame) -> DataFrame:
-    """(page_id, block_no, x_min, x_max, y_min, y_max): columns around their lines."""
-    return lines.groupBy("page_id", "block_no").agg(F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
+    """(page_id, block_no, x_min, x_max, y_min, y_max, span, middle): columns around their lines."""
+    found = lines.groupBy("page_id", "block_no").agg(F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
+    return found.withColumn("span", column_span(F.col("x_min"), F.col("x_max"))).withColumn("middle", column_middle(F.col("x_min"), F.col("x_max")))
 
 
 def word_ids(blobs: DataFrame, line_id: str = "line_id") -> DataFrame:

@@ -16,11 +16,12 @@ def histogram(pixels: DataFrame) -> DataFrame:
 
 
 def otsu(pixels: DataFrame) -> DataFrame:
-    """(page_id, threshold): the first level of largest between-class variance, as a whole number; 0 for a uniform page.
+    """(page_id, threshold): the first level of largest between-class variance, as a whole number; 0 for a uniform page."""
+    return otsu_of(histogram(pixels))
 
-    At most 256 rows a page are left after the histogram, so the windows are small.
-    """
-    h = histogram(pixels)
+
+def otsu_of(h: DataFrame) -> DataFrame:
+    """`otsu` of histograms. They have at most 256 rows a page, so the windows are small."""
     w = Window.partitionBy("page_id")
     run = w.orderBy("px").rowsBetween(Window.unboundedPreceding, 0)
     c = h.select(
@@ -93,6 +94,11 @@ def skew_scores(pixels: DataFrame, dark: int = 128) -> DataFrame:
     row = (F.signum(turned) * F.floor(F.abs(turned) + 0.5)).cast("int")
     rows = F.least("height", F.lit(PROFILE_ROWS))
     counted = p.select("page_id", "a.degrees", row.alias("row"), rows.alias("rows")).where("row >= 0 and row < rows").groupBy("page_id", "degrees", "row").agg(F.count("*").alias("n"), F.first("rows").alias("rows"))
+    return profile_scores(counted)
+
+
+def profile_scores(counted: DataFrame) -> DataFrame:
+    """counted(page_id, degrees, row, n, rows), rows that have dark pixels, to (page_id, degrees, score)."""
     w = Window.partitionBy("page_id", "degrees").orderBy("row")
     above = F.when(F.lag("row").over(w) == F.col("row") - 1, F.lag("n").over(w)).otherwise(0)
     n = F.col("n")
@@ -103,38 +109,63 @@ def skew_scores(pixels: DataFrame, dark: int = 128) -> DataFrame:
 
 def detect_skew(pixels: DataFrame, dark: int = 128) -> DataFrame:
     """(page_id, degrees): the first angle of the highest score; 0 where no page turns sharper than nothing."""
-    best = skew_scores(pixels, dark).where("score > 0").groupBy("page_id").agg(F.min_by("degrees", F.struct(-F.col("score"), F.col("degrees"))).alias("degrees"))
-    return pixels.select("page_id").distinct().join(best, "page_id", "left").select("page_id", F.coalesce("degrees", F.lit(0.0)).alias("degrees"))
+    return sharpest(pixels.select("page_id").distinct(), skew_scores(pixels, dark))
+
+
+def sharpest(named: DataFrame, scores: DataFrame) -> DataFrame:
+    """(page_id, degrees) of the pages named: the first angle of the highest score."""
+    best = scores.where("score > 0").groupBy("page_id").agg(F.min_by("degrees", F.struct(-F.col("score"), F.col("degrees"))).alias("degrees"))
+    return named.join(best, "page_id", "left").select("page_id", F.coalesce("degrees", F.lit(0.0)).alias("degrees"))
 
 
 # --- resampling: a row is a page (page_id, width, height, data), gray, row-major -------------------------
 
 
-def _bilinear(image: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
-    """Values between pixels at (sx, sy), which lie within the image, in single precision."""
-    h, w = image.shape
+def _bilinear(image: np.ndarray, sx: np.ndarray, sy: np.ndarray, page: tuple[int, int] | None = None, at: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """Values between pixels at (sx, sy), which lie within the page, in single precision; the image is the part of a page of that height and width that begins at (y, x)."""
+    h, w = page or image.shape
     x0, y0 = np.floor(sx).astype(np.int64), np.floor(sy).astype(np.int64)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    x1, y1 = np.minimum(x0 + 1, w - 1) - at[1], np.minimum(y0 + 1, h - 1) - at[0]
     dx, dy = sx - x0.astype(np.float32), sy - y0.astype(np.float32)
+    x0, y0 = x0 - at[1], y0 - at[0]
     p, one = image.astype(np.float32), np.float32(1)
     return p[y0, x0] * (one - dx) * (one - dy) + p[y0, x1] * dx * (one - dy) + p[y1, x0] * (one - dx) * dy + p[y1, x1] * dx * dy
 
 
-def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
-    """The image turned about its centre, of the same size; white comes in from outside."""
-    h, w = image.shape
+def _sources(w: int, h: int, degrees: float, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) on a page of w x h that the places rows x columns come from when it is turned about its centre."""
     turn = np.float32(degrees) * np.float32(np.pi / 180.0)
     c, s = np.float32(np.cos(float(turn))), np.float32(np.sin(float(turn)))
     cx, cy = np.float32(w) / np.float32(2), np.float32(h) / np.float32(2)
-    fy, fx = np.meshgrid(np.arange(h, dtype=np.float32) - cy, np.arange(w, dtype=np.float32) - cx, indexing="ij")
-    sx, sy = c * fx + s * fy + cx, -s * fx + c * fy + cy
-    out = np.full((h, w), 255, np.uint8)
+    fy, fx = np.meshgrid(rows.astype(np.float32) - cy, columns.astype(np.float32) - cx, indexing="ij")
+    return c * fx + s * fy + cx, -s * fx + c * fy + cy
+
+
+def source_box(w: int, h: int, degrees: float, y0: int, y1: int, x0: int, x1: int) -> tuple[int, int, int, int]:
+    """(y0, y1, x0, x1), inclusive and within the page, that the places of a box come from, with a pixel to spare."""
+    sx, sy = _sources(w, h, degrees, np.array([y0, y1]), np.array([x0, x1]))
+    inside = lambda v, n: max(0, min(int(v), n - 1))
+    return inside(np.floor(sy.min()) - 1, h), inside(np.floor(sy.max()) + 2, h), inside(np.floor(sx.min()) - 1, w), inside(np.floor(sx.max()) + 2, w)
+
+
+def turned_part(part: np.ndarray, top: int, left: int, w: int, h: int, degrees: float, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The places rows x columns of a turned page, from the part of it at (top, left); white comes in from outside."""
+    if not degrees:
+        return part[rows[0] - top : rows[-1] - top + 1, columns[0] - left : columns[-1] - left + 1]
+    sx, sy = _sources(w, h, degrees, rows, columns)
+    out = np.full(sx.shape, 255, np.uint8)
     inside = (sx >= 0) & (sy >= 0) & (sx < w) & (sy < h)
     if inside.any():
-        out[inside] = np.floor(np.clip(_bilinear(image, sx[inside], sy[inside]), 0, 255) + np.float32(0.5)).astype(np.uint8)
+        out[inside] = np.floor(np.clip(_bilinear(part, sx[inside], sy[inside], (h, w), (top, left)), 0, 255) + np.float32(0.5)).astype(np.uint8)
     return out
 
 
+def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
+    """The image turned about its centre, of the same size; white comes in from outside."""
+    h, w = image.shape
+    return turned_part(image, 0, 0, w, h, degrees, np.arange(h), np.arange(w)) if image.size else image
+
+
 def rescaled(image: np.ndarray, height: int) -> np.ndarray:
     """The image as network input of that height: same proportions, contrast stretched to -1 to 1. Empty if a side is 0."""
     h, w = image.shape

@@ -1,6 +1,7 @@
 """Line recognition and the page pipeline: rasters in, page results out.
 
-A page's layout is DataFrame work; lines, not pages, are then dealt over the tasks for the network, each as its crop.
+Pages are cut into tiles (`tiles`), a page's layout is DataFrame work, and lines, not pages, are dealt over the tasks for the network, each as its
+crop. Every stage that several others read is written once (`stages`).
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelight.functions import scalar
-from pagelight.operators import blobs, decode, layout, network, pages, render
+from pagelight.operators import decode, layout, network, pages, render, tiles
+from pagelight.operators.stages import Stages
 
 
 def recognize_lines(crops: DataFrame, model, width: int = 10, top: int = 5) -> DataFrame:
     """crops(page_id, line_no, width, height, data) to (page_id, line_no, text, confidences, timesteps). The model, bounded in
-    size, is broadcast; an empty crop gives an empty text."""
+    size, is broadcast; an empty crop and a blank line give an empty text without confidences."""
     shared = crops.sparkSession.sparkContext.broadcast(model)
 
     def one(m, table, w: int, h: int, data: bytes) -> tuple[str, list[float], list[int]]:
@@ -25,6 +27,8 @@ def recognize_lines(crops: DataFrame, model, width: int = 10, top: int = 5) -> D
             return "", [], []
         out = network.forward(m.network, x[:, :, None])
         codes, score = decode.beam(out.reshape(-1, out.shape[2]).tolist(), m.null_code, width, top)
+        if not codes:  # a blank line
+            return "", [], []
         ids = codes if table is None else [table.get(c, decode.INVALID) for c in codes]
         names = m.characters
         # the search keeps a score for the whole line only, and no places
@@ -41,53 +45,27 @@ def recognize_lines(crops: DataFrame, model, width: int = 10, top: int = 5) -> D
     return crops.select("page_id", "line_no", "width", "height", "data").mapInArrow(run, "page_id long, line_no int, text string, confidences array<float>, timesteps array<int>")
 
 
-def cropped(lines: DataFrame, gray: DataFrame) -> DataFrame:
-    """lines(page_id, line_no, x, y, right, bottom) and gray rasters to crops of one pixel at least, white beyond the page. A page's raster is
-    joined with the boxes of its lines, gathered in one row, so it moves once."""
-    held = lines.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "x", "y", "right", "bottom")).alias("boxes"))
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, w, h, data, boxes in zip(*(b.column(c).to_pylist() for c in ("page_id", "width", "height", "data", "boxes"))):
-                image = np.frombuffer(data, np.uint8).reshape(h, w)
-                for x in boxes:
-                    tall, wide = max(x["bottom"] - x["y"], 1), max(x["right"] - x["x"], 1)
-                    crop = np.full((tall, wide), 255, np.uint8)
-                    part = image[x["y"] : x["y"] + tall, x["x"] : x["x"] + wide]
-                    crop[: part.shape[0], : part.shape[1]] = part
-                    out.append((i, x["line_no"], wide, tall, crop.tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["page_id", "line_no", "width", "height", "data"])
-
-    return gray.join(held, "page_id").select("page_id", "width", "height", "data", "boxes").mapInArrow(run, "page_id long, line_no int, width int, height int, data binary")
-
-
-def page_layout(binary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Black-and-white rasters to (text blobs with line_no, lines with block_no and their boxes)."""
-    text = layout.text_blobs(blobs.components(pages.exploded(binary)))
-    lined = layout.detect_lines(text)
-    return lined, layout.detect_columns(layout.line_boxes(lined))
-
-
-def recognize(rasters: DataFrame, model) -> DataFrame:
-    """rasters(page_id, width, height, channels, data) to page results (page_id, page_width, page_height, blocks). Crops are taken from
-    the gray page as it was; boxes are those of the page turned upright."""
-    gray = pages.gray_rasters(rasters)
-    levels = pages.exploded(gray)
-    threshold = pages.otsu(levels)
-    black = pages.gathered(levels.join(threshold, "page_id").withColumn("px", scalar.binarize(F.col("px"), F.col("threshold"))))
-    lined, lines = page_layout(pages.deskew(black))
-    boxes = layout.block_boxes(lines).select("page_id", "block_no", F.col("x_min").alias("bx"), F.col("x_max").alias("br"), F.col("y_min").alias("by"), F.col("y_max").alias("bb"))
-    lines = lines.join(boxes, ["page_id", "block_no"]).join(layout.baselines(lined, "line_no"), ["page_id", "line_no"])
-    crops = cropped(lines.select("page_id", "line_no", F.col("bx").alias("x"), F.col("y_min").alias("y"), F.col("br").alias("right"), F.col("y_max").alias("bottom")), gray)
-    read = recognize_lines(crops, model)
-    words = layout.words(lined, "line_no").groupBy("page_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_id", scalar.box(F.col("x"), F.col("y"), F.col("right"), F.col("bottom")).alias("b")))).alias("w"))
-    words = words.select("page_id", "line_no", F.transform("w", lambda x: x["b"]).alias("boxes"))
-    found = lines.join(read, ["page_id", "line_no"]).join(words, ["page_id", "line_no"])
-    found = found.select(
-        "page_id", "block_no", "line_no", scalar.box(F.col("bx"), F.col("by"), F.col("br"), F.col("bb")).alias("block_box"), scalar.box(F.col("bx"), F.col("y_min"), F.col("br"), F.col("y_max")).alias("bbox"),
-        F.col("slope").cast("float").alias("baseline_slope"), F.col("intercept").cast("float").alias("baseline_intercept"), decode.aligned(F.col("text"), decode.probability(F.col("confidences")), F.col("boxes")).alias("words"),
-    )
-    sizes = rasters.select("page_id", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
-    return render.assembled(found, sizes)
+def recognize(rasters: DataFrame, model, size: int = tiles.SIZE) -> DataFrame:
+    """rasters(page_id, width, height, channels, data) to page results (page_id, page_width, page_height, blocks), written. Crops are taken from
+    the gray page as it was; boxes are those of the page turned upright. The rasters are read once."""
+    spark = rasters.sparkSession
+    with Stages(spark, "pages") as run:
+        gray = run.write(tiles.cut(pages.gray_rasters(rasters), size), "gray")
+        black = run.write(tiles.binarized(gray, pages.otsu_of(tiles.histogram(gray, size))), "black")
+        turns = tiles.skew(black, size).withColumn("degrees", -F.col("degrees"))
+        upright = run.write(tiles.rotated(black, turns, size), "upright")
+        lined = run.write(layout.detect_lines(layout.text_blobs(run.write(tiles.components(run, upright, size), "components"))), "lined")
+        lines = run.write(layout.detect_columns(layout.line_boxes(lined)), "lines")
+        boxes = layout.block_boxes(lines).select("page_id", "block_no", F.col("x_min").alias("bx"), F.col("x_max").alias("br"), F.col("y_min").alias("by"), F.col("y_max").alias("bb"))
+        lines = run.write(lines.join(boxes, ["page_id", "block_no"]).join(layout.baselines(lined, "line_no"), ["page_id", "line_no"]), "boxes")
+        crops = tiles.cropped(gray, lines.select("page_id", "line_no", F.col("bx").alias("x"), F.col("y_min").alias("y"), F.col("br").alias("right"), F.col("y_max").alias("bottom")), size)
+        read = recognize_lines(crops, model)
+        words = layout.words(lined, "line_no").groupBy("page_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_id", scalar.box(F.col("x"), F.col("y"), F.col("right"), F.col("bottom")).alias("b")))).alias("w"))
+        words = words.select("page_id", "line_no", F.transform("w", lambda x: x["b"]).alias("boxes"))
+        found = lines.join(read, ["page_id", "line_no"]).join(words, ["page_id", "line_no"])
+        found = found.select(
+            "page_id", "block_no", "line_no", scalar.box(F.col("bx"), F.col("by"), F.col("br"), F.col("bb")).alias("block_box"), scalar.box(F.col("bx"), F.col("y_min"), F.col("br"), F.col("y_max")).alias("bbox"),
+            F.col("slope").cast("float").alias("baseline_slope"), F.col("intercept").cast("float").alias("baseline_intercept"), decode.aligned(F.col("text"), decode.probability(F.col("confidences")), F.col("boxes")).alias("words"),
+        )
+        sizes = tiles.sizes(gray).select("page_id", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
+        return Stages(spark, "results").write(render.assembled(found, sizes), "pages")
