@@ -185,16 +185,24 @@ def _from_jvm(image: dict) -> np.ndarray:
     return p if n == 1 else np.ascontiguousarray(p[:, :, [2, 1, 0, 3][:n]])
 
 
+def _path(column):
+    return F.regexp_replace(column, "^file:/+", "file:///").alias("path")
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, path) of the files that `from_files` reads; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(_path(F.col("path"))).select(F.xxhash64("path").alias("page_id"), "path")
+
+
 def from_files(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, path, width, height, channels, data, _error): images of a folder or a pattern; page_id is a hash of the path. PNG, PGM, PPM
     and BMP files are decoded by `decode`, JPEG and GIF files by the JVM, all of them in the same form."""
-    named = lambda c: F.regexp_replace(c, "^file:/+", "file:///").alias("path")
     keyed = lambda df, content: df.select(F.xxhash64("path").alias("page_id"), "path", content)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
-    files = spark.read.format("binaryFile").load(path).select(named(F.col("path")), "content").where(~ending.isin(*JVM_FORMATS))
+    files = spark.read.format("binaryFile").load(path).select(_path(F.col("path")), "content").where(~ending.isin(*JVM_FORMATS))
     glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in f) for f in JVM_FORMATS) + "}"
     other = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", glob).load(path)
-    other = other.select(named(F.col("image.origin")), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
+    other = other.select(_path(F.col("image.origin")), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
     return _decoded(keyed(files, "content"), lambda content: decode(content or b"")).unionByName(_decoded(keyed(other, "image"), _from_jvm))
 
 

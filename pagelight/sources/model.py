@@ -59,23 +59,31 @@ class Reader:
         return self.bytes(self.values("I")).decode()
 
 
-def container(data: bytes) -> list[tuple[int, int, bytes]]:
-    """(place, offset, payload) of the entries that are there; each ends where the next one that is there begins."""
-    if len(data) < 4 + 8 * ENTRIES:
+HEAD = 4 + 8 * ENTRIES
+
+
+def places(head: bytes, size: int) -> list[tuple[int, int, int]]:
+    """(place, offset, size) of the entries that are there, from the first bytes of a container and its size; each ends where the next one that is there begins."""
+    if size < HEAD or len(head) < HEAD:
         raise ModelError("FileTooSmall")
     order = "<"
-    if struct.unpack("<I", data[:4])[0] > 1000:
+    if struct.unpack("<I", head[:4])[0] > 1000:
         order = ">"
-    if struct.unpack(order + "I", data[:4])[0] != ENTRIES:
+    if struct.unpack(order + "I", head[:4])[0] != ENTRIES:
         raise ModelError("BadEntryCount")
-    offsets = struct.unpack(f"{order}{ENTRIES}q", data[4 : 4 + 8 * ENTRIES])
+    offsets = struct.unpack(f"{order}{ENTRIES}q", head[4:HEAD])
     there = [(i, o) for i, o in enumerate(offsets) if o != -1]
-    if any(not 0 <= o < len(data) for _, o in there):
+    if any(not 0 <= o < size for _, o in there):
         raise ModelError("OffsetOutOfRange")
-    ends = [o for _, o in there[1:]] + [len(data)]
+    ends = [o for _, o in there[1:]] + [size]
     if any(e < o for (_, o), e in zip(there, ends)):
         raise ModelError("OffsetOutOfRange")
-    return [(i, o, data[o:e]) for (i, o), e in zip(there, ends)]
+    return [(i, o, e - o) for (i, o), e in zip(there, ends)]
+
+
+def container(data: bytes) -> list[tuple[int, int, bytes]]:
+    """(place, offset, payload) of the entries that are there."""
+    return [(i, o, data[o : o + n]) for i, o, n in places(data[:HEAD], len(data))]
 
 
 def entry_table(spark: SparkSession, data: bytes) -> DataFrame:
@@ -230,6 +238,11 @@ def layer_rows(root: Layer, path: str = "0") -> list[tuple]:
     return out
 
 
+def encoded(codes: list[tuple[int, bool, list[int]]], unichar_id: int) -> list[int] | None:
+    """The codes of a character; none where the id is beyond the table."""
+    return codes[unichar_id][2] if 0 <= unichar_id < len(codes) else None
+
+
 @dataclass
 class Model:
     network: Layer
@@ -248,11 +261,25 @@ class Model:
     def inputs(self) -> int:
         return self.network.inputs
 
+    @property
+    def sizes(self) -> dict[str, int]:
+        """Characters, code entries and edges of each word graph."""
+        return {"characters": len(self.characters), "codes": len(self.codes or []), **{name: len(edges) for name, (_, edges) in self.graphs.items()}}
+
     @property
     def int_mode(self) -> bool:
         return bool(self.flags & INT_MODE)
 
 
+def own_codes(lstm: bytes) -> list[tuple[int, bool, list[int]]]:
+    """The code entries that follow a network in its own component, if it says that there are some."""
+    reader = Reader(lstm)
+    network(reader), reader.string()
+    flags = reader.values("i")
+    reader.skip(24)
+    return recoder(reader) if flags & RECODED else []
+
+
 def load(data: bytes) -> Model:
     """A whole model. Word graphs that can't be read are left out, everything else must be there."""
     entries = {i: p for i, _, p in container(data)}
