@@ -114,3 +114,8 @@ def matrix(rows: list[list[float]]):
 def clamped_int(x):
     """An activation as a whole number of 127ths."""
     return _whole(x.cast("double") * 127.0)
+
+
+def from_whole(q):
+    """A whole number of 127ths as an activation again."""
+    return q.cast("double") / 127.0

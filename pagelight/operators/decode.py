@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.functions import scalar
+from pagelight.operators import word_graphs
 
 
 def greedy(frames: DataFrame, probs: str = "probs", null_code: int = 0) -> DataFrame:
@@ -57,16 +58,16 @@ def largest_code(recoder: DataFrame) -> DataFrame:
 
 
 def unichar_ids(codes: DataFrame, table: DataFrame | None) -> DataFrame:
-    """codes(..., code) with unichar_id: INVALID where the table (bounded by the character set) has none; without a table the code."""
+    """codes(..., code) with unichar_id: INVALID where the table has none; without a table the code."""
     if table is None:
         return codes.withColumn("unichar_id", F.col("code").cast("long"))
-    return codes.join(F.broadcast(table), "code", "left").withColumn("unichar_id", F.coalesce("unichar_id", F.lit(INVALID)))
+    return codes.join(table, "code", "left").withColumn("unichar_id", F.coalesce("unichar_id", F.lit(INVALID)))
 
 
 def characters(ids: DataFrame, charset: DataFrame) -> DataFrame:
     """ids(..., unichar_id) with unichar, empty for ids that the character set lacks."""
     known = charset.select(F.col("id").cast("long").alias("unichar_id"), "unichar")
-    return ids.join(F.broadcast(known), "unichar_id", "left").withColumn("unichar", F.coalesce("unichar", F.lit("")))
+    return ids.join(known, "unichar_id", "left").withColumn("unichar", F.coalesce("unichar", F.lit("")))
 
 
 def text_of(emitted: DataFrame, charset: DataFrame) -> DataFrame:
@@ -140,11 +141,8 @@ def graph_edges(records: DataFrame, start_bit: int) -> DataFrame:
     """records(edge, rec) to (edge, node, letter, next, word_end, last, backward, free): a node is named by its first edge."""
     flag = lambda f: scalar.edge_flag(F.col("rec"), start_bit, f)
     e = records.select("edge", "rec", scalar.edge_letter(F.col("rec"), start_bit).alias("letter"), scalar.edge_next(F.col("rec"), start_bit).alias("next"), flag(1).alias("last"), flag(2).alias("backward"), flag(4).alias("word_end"))
-    order = Window.orderBy("edge")  # one graph: bounded by the model, as a dictionary is
-    begins = F.when(F.coalesce(F.lag("last").over(order), F.lit(True)), F.col("edge"))
-    node = F.last(begins, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     free = F.col("rec") == F.lit(-1 << (start_bit + 3))
-    return e.withColumn("node", node).withColumn("free", free).drop("rec")
+    return word_graphs.nodes_of(e).withColumn("free", free).drop("rec")
 
 
 def forward_edges(edges: DataFrame) -> DataFrame:
@@ -153,22 +151,9 @@ def forward_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("node").agg(F.when(first, F.count("*")).otherwise(0).alias("n"))
 
 
-def in_graph(words: DataFrame, edges: DataFrame, prefix: bool = False, longest: int = 64) -> DataFrame:
-    """words(word_id, letters) with found: whether they (prefix: their beginnings) are paths of the graph. One join with the
-    edges, which the model bounds, for each position; words are at most `longest` letters, others raise."""
-    too_long = F.when(F.size("letters") > longest, F.raise_error(F.lit("a word is longer than the walk")))
-    at = words.select("word_id", F.coalesce(too_long.cast("array<int>"), F.col("letters")).alias("letters"), F.lit(0).cast("long").alias("node"), F.lit(False).alias("found"))
-    edges = F.broadcast(edges.where(~F.col("free")).select(F.col("node").alias("_node"), F.col("letter").alias("_letter"), "next", "word_end"))
-    most = at.agg(F.max(F.size("letters"))).first()[0] or 0
-    for i in range(most):
-        step = at.join(edges, (F.col("node") == F.col("_node")) & (F.get("letters", F.lit(i)) == F.col("_letter")), "left")
-        ends = F.size("letters") == i + 1
-        ok = F.when(ends, F.col("_node").isNotNull() & (F.lit(prefix) | F.col("word_end"))).otherwise(F.col("found"))
-        onward = F.when(ends | (F.col("next") == 0), F.lit(None)).otherwise(F.col("next"))
-        at = step.select("word_id", "letters", onward.alias("node"), F.coalesce(ok, F.lit(False)).alias("found"))
-        at = at.groupBy("word_id", "letters").agg(F.max("node").alias("node"), F.max("found").alias("found"))
-    empty = (F.size("letters") == 0) & F.lit(prefix)
-    return at.select("word_id", (F.col("found") | empty).alias("found"))
+def in_graph(words: DataFrame, edges: DataFrame, prefix: bool = False) -> DataFrame:
+    """words(word_id, letters) with found: whether they (prefix: their beginnings) are paths of the graph."""
+    return word_graphs.walked(words, edges, prefix)
 
 
 def page_text(lines: DataFrame) -> DataFrame:

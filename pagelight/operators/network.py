@@ -60,6 +60,32 @@ def parallel(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(other, ["id", "t"]).withColumn("vec", F.concat("vec", "_more")).drop("_more")
 
 
+def recurrent(activations: DataFrame, gates: list[list[list[float]]]) -> DataFrame:
+    """activations(id, t, vec) through an LSTM layer in the order of t, to (id, t, vec). gates are the rows of the cell, input, forget and output matrices, each row
+    over a step, the last output and the bias. A line's steps are one array, and its state goes from one to the next in an aggregate
+    over that: no Python, and no task that holds more than a line at a time."""
+    states = len(gates[0])
+    held = [vectors.matrix(g) for g in gates]
+    each = F.sequence(F.lit(0), F.lit(states - 1))
+    zeros = F.array(*[F.lit(0.0)] * states)
+
+    def step(state, x):
+        joined = F.concat(F.transform(x["vec"], lambda v: v.cast("double")), state["h"])
+        through = F.struct(*[vectors.mat_vec(m, joined).alias(n) for m, n in zip(held, ("cell", "gate_in", "forget", "gate_out"))])
+
+        def output(p):
+            kept = lambda i: state["c"][i] * vectors.sigmoid_fast(p["forget"][i]) + vectors.tanh_fast(p["cell"][i]) * vectors.sigmoid_fast(p["gate_in"][i])
+            cells = F.transform(each, lambda i: F.greatest(F.lit(-100.0), F.least(F.lit(100.0), kept(i))))
+            shown = lambda c: F.transform(each, lambda i: vectors.tanh_fast(c[i]) * vectors.sigmoid_fast(p["gate_out"][i]))
+            return vectors.let(cells, lambda c: vectors.let(shown(c), lambda h: F.struct(c.alias("c"), h.alias("h"), F.concat(state["out"], F.array(F.struct(x["t"].alias("t"), h.alias("vec")))).alias("out"))))
+
+        return vectors.let(through, output)
+
+    begin = F.struct(zeros.alias("c"), zeros.alias("h"), F.expr("cast(array() as array<struct<t:int,vec:array<double>>>)").alias("out"))
+    lines = activations.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), "vec"))).alias("steps"))
+    return lines.select("id", F.explode(F.aggregate("steps", begin, step, lambda s: s["out"])).alias("s")).select("id", "s.t", "s.vec")
+
+
 # --- a whole network on one grid ----------------------------------------------------------------------
 
 
@@ -105,9 +131,17 @@ def product(matrix: np.ndarray, scales: np.ndarray | None, x: np.ndarray) -> np.
 
 
 def _lstm(layer: Layer, x: np.ndarray) -> np.ndarray:
+    """The four matrices are stacked, so that a step is one product and its input is made whole numbers once."""
     state, last, out = np.zeros(layer.outputs, np.float32), np.zeros(layer.outputs, np.float32), []
+    matrices, scales = [np.concatenate([m for m, _ in layer.matrices]), [s for _, s in layer.matrices]]
+    whole = all(s is not None for s in scales)
+    if any(s is not None for s in scales) != whole:  # of both kinds: each on its own
+        through = lambda v: np.concatenate([product(m, s, v)[0] for m, s in layer.matrices])
+    else:
+        stacked = np.concatenate(scales) if whole else None
+        through = lambda v: product(matrices, stacked, v)[0]
     for step in x:
-        cell, gate_in, forget, gate_out = (product(m, s, np.concatenate((step, last))[None, :])[0] for m, s in layer.matrices)
+        cell, gate_in, forget, gate_out = through(np.concatenate((step, last))[None, :]).reshape(4, -1)
         state = np.clip(state * _sigmoid(forget) + _tanh(cell) * _sigmoid(gate_in), -100, 100).astype(np.float32)
         last = _tanh(state) * _sigmoid(gate_out)
         out.append(last)

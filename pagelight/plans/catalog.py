@@ -108,14 +108,6 @@ def detect_skew(spark, sf_dir):
     return pages.detect_skew(views.raster(spark, sf_dir))
 
 
-def deskewed(spark, sf_dir):
-    return pages.deskew(views.rasters(spark, sf_dir))
-
-
-def network_inputs(spark, sf_dir):
-    return pages.prepare(views.rasters(spark, sf_dir), 36)
-
-
 def contrast(spark, sf_dir):
     found = views.raster(spark, sf_dir).groupBy("page_id").agg(F.min("px").alias("black"), F.max("px").alias("white"))
     return found.select("page_id", "black", F.when(F.col("white") > F.col("black"), (F.col("white") - F.col("black")) / 2.0).otherwise(1.0).alias("contrast"))
@@ -129,10 +121,6 @@ def text_lines(spark, sf_dir):
     return layout.line_boxes(layout.detect_lines(_text_blobs(spark, sf_dir)))
 
 
-def columns(spark, sf_dir):
-    return layout.block_boxes(layout.detect_columns(layout.line_boxes(layout.detect_lines(_text_blobs(spark, sf_dir)))))
-
-
 def box_methods(spark, sf_dir):
     b = blobs.boxes(blobs.components(_black(spark, sf_dir)))
     at = F.col("bbox")
@@ -152,10 +140,6 @@ def greedy_codes(spark, sf_dir):
     return decode.greedy(views.softmax_frames(spark, sf_dir)).select("line_id", "t", "code", F.round("conf", 6).alias("conf"))
 
 
-def beam_codes(spark, sf_dir):
-    return decode.beam_search(views.softmax_frames(spark, sf_dir))
-
-
 def softmax(spark, sf_dir):
     return views.softmax_frames(spark, sf_dir).select("line_id", "t", F.transform("probs", lambda p: F.round(p, 7)).alias("probs"))
 
@@ -312,8 +296,8 @@ def flag_bits(spark, sf_dir):
 
 
 _ALL = (
-    grayscale, histogram, otsu_threshold, binarized, projection_profile, sharpness, black_runs, maxpool, skew_profile, detect_skew, deskewed, network_inputs, contrast, connected_components,
-    blob_classes, words, baselines, block_boxes, text_lines, columns, box_methods, arg_max, top_classes, greedy_codes, beam_codes, softmax, activations, quantized, mat_vec, mat_vec_int, dot_products,
+    grayscale, histogram, otsu_threshold, binarized, projection_profile, sharpness, black_runs, maxpool, skew_profile, detect_skew, contrast, connected_components,
+    blob_classes, words, baselines, block_boxes, text_lines, box_methods, arg_max, top_classes, greedy_codes, softmax, activations, quantized, mat_vec, mat_vec_int, dot_products,
     fully_connected, convolved, reversed_steps, transposed_steps, parallel_features, word_split, page_text, render_text, render_hocr, render_json, align_tokens, html_escape, json_escape, float_format,
     dictionary_words, dictionary_prefixes, code_table, decoded_text, character_kinds, graph_edges, flag_bits,
 )
@@ -365,7 +349,7 @@ ORACLE_SQL = {
     "dot_products": f"WITH {_FRAMES}, b AS (SELECT line_id, t, logits AS v, list_reverse(logits) AS b FROM fr), q AS (SELECT *, list_transform(v, lambda x: {_AWAY.format('(x * 127.0::DOUBLE)')}) AS vq, list_transform(b, lambda x: {_AWAY.format('(x * 127.0::DOUBLE)')}) AS bq FROM b) SELECT line_id, t, round({_DOT.format('v', 'b')}, 6) AS dot, {_DOT.format('vq', 'bq')}::BIGINT AS dot_int FROM q",
     "convolved": f"WITH {_FRAMES}, g AS (SELECT line_id AS id, t, t % 8 AS x, t // 8 AS y, logits[1:4] AS vec FROM fr), o AS (SELECT dx, dy FROM (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)), n AS (SELECT a.id, a.t, dx, dy, coalesce(b.vec, [0.0, 0.0, 0.0, 0.0]::DOUBLE[]) AS vec FROM g a CROSS JOIN o LEFT JOIN g b ON b.id = a.id AND b.x = a.x + dx AND b.y = a.y + dy) SELECT id, t, flatten(list(vec ORDER BY dx, dy)) AS vec FROM n GROUP BY 1, 2",
     "reversed_steps": f"WITH {_FRAMES} SELECT line_id AS id, 31 - t AS t, logits[1:4] AS vec FROM fr",
-    "transposed_steps": f"WITH {_FRAMES} SELECT line_id AS id, ((t % 8) * 4 + t // 8)::INT AS t, 8 AS rows, 4 AS columns, logits[1:4] AS vec FROM fr",
+    "transposed_steps": f"WITH {_FRAMES} SELECT line_id AS id, ((t % 8) * 4 + t // 8)::INT AS t, 8 AS rows, 4 AS logits[1:4] AS vec FROM fr",
     "parallel_features": f"WITH {_FRAMES} SELECT a.line_id AS id, a.t, list_concat(a.logits[1:4], b.logits[1:4]) AS vec FROM fr a JOIN fr b ON b.line_id = a.line_id AND b.t = 31 - a.t",
     "box_methods": f"WITH RECURSIVE {_RASTER}{_OTSU}{_RUNS}, ed AS (SELECT a.r AS a, b.r AS b FROM rn a JOIN rn b ON a.page_id = b.page_id AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1), rc AS (SELECT r AS root, r FROM rn UNION SELECT rc.root, ed.b FROM rc JOIN ed ON rc.r = ed.a), lb AS (SELECT r, min(root) AS root FROM rc GROUP BY 1), co AS (SELECT page_id, root, min(x0) AS x, min(y) AS y, max(x1) + 1 AS rt, max(y) + 1 AS bt FROM rn JOIN lb USING (r) GROUP BY page_id, root) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY y, x, root) - 1)::INT AS seq, rt::INT AS \"right\", bt AS bottom, ((rt - x) * (bt - y))::BIGINT AS area, (8 >= x AND 8 < rt AND 8 >= y AND 8 < bt) AS holds, (y < 8 AND 0 < bt) AS beside FROM co",
     "render_text": f"WITH {_PAGE_WORDS} SELECT page_id, string_agg(array_to_string(words, ' '), chr(10) {_ORDER}) AS document FROM pw GROUP BY 1",
