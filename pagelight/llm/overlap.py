@@ -13,7 +13,9 @@ fingerprint of 64 bits can't tell that without loss, so it only proposes; a pref
    Which shingles count as common comes from a bounded sample (``SAMPLE``, ``COMMON``); it decides about the
    work only, since any order gives the same links.
 
-Before sets are compared, counts of their shingles in ``CELLS`` cells bound what they can have in common; that
+Before a pair of step 3 is made, the parities of its sets' shingles in ``PARITY`` cells must fit: where they differ, the sets differ in a shingle at least,
+and similar sets differ in few. That is part of the join, so texts put together from the same few passages make hardly any
+pairs. Before sets are compared, counts of their shingles in ``CELLS`` cells bound what they can have in common; that
 spares most pairs the comparison and loses none. Every comparison is of the whole sets. A text under five words is one
 shingle of its own length; null and blank texts have the empty set and are linked with each other. Words are those of
 the fingerprints (ASCII-lower-cased, by white space).
@@ -34,8 +36,9 @@ from pagelight.llm.components import connected_components
 SHINGLE, SIMILARITY, PROPOSE = 5, 0.8, 3
 #: Texts that the order of shingles is taken from, how many common ones it has, and in how many texts those are.
 SAMPLE, COMMON, OFTEN = 16384, 1 << 18, 3
-#: Cells of a set's counts; nodes of each shingle that all its nodes are compared with.
-CELLS, CENTRES = 256, 5
+#: Cells of a set's counts; nodes of each shingle that all its nodes are compared with; cells of a set's parities, 64 in each number.
+CELLS, CENTRES, PARITY = 256, 5, 256
+_PARITIES = [f"q{i}" for i in range(PARITY // 64)]
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -59,6 +62,18 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s), bitorder="little").view(np.int64)[0])
 
 
+def _parities(s: np.ndarray) -> list[int]:
+    """Whether each cell has an odd number of the shingles, as numbers of 64 bits."""
+    odd = np.bincount((s >> 9) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _near_parities(similarity: float):
+    """Whether a and b can be similar by their parities: sets that reach the similarity differ in so many shingles at most."""
+    differ = sum((F.bit_count(F.col(f"a{q}").bitwiseXOR(F.col(f"b{q}"))) for q in _PARITIES), F.lit(0))
+    return differ <= (1 - similarity) / (1 + similarity) * (F.col("an") + F.col("bn")) + 1e-9
+
+
 def _sets(rows: DataFrame, size: int, schema: str, row) -> DataFrame:
     """mapInArrow over rows(id, key, t): row(set) gives a row's values after id and key."""
     fields = [f.split() for f in schema.split(", ")]
@@ -114,10 +129,11 @@ def _linked(run: Scratch, docs: DataFrame, id_col: str, text_col: str, size: int
         often = names[at] == s if len(names) else np.zeros(n, bool)
         order = np.concatenate((s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]))
         cells = np.minimum(np.bincount(s & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8)  # 255: or more
-        return _node(s), _fingerprint(s), n, cells.tobytes(), order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        return _node(s), _fingerprint(s), n, cells.tobytes(), order[: n - int(np.ceil(similarity * n - 1e-9)) + 1], *_parities(s)
 
-    own = run.write(_sets(rows, size, "node long, fp long, n long, cells binary, prefix array<long>", prefix), "sets")
-    nodes = own.groupBy("node").agg(F.min(F.struct("id", "key")).alias("top"), F.first("fp").alias("fp"), F.first("n").cast("int").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix"))
+    fields = "node long, fp long, n long, cells binary, prefix array<long>" + "".join(f", {q} long" for q in _PARITIES)
+    own = run.write(_sets(rows, size, fields, prefix), "sets")
+    nodes = own.groupBy("node").agg(F.min(F.struct("id", "key")).alias("top"), F.first("fp").alias("fp"), F.first("n").cast("int").alias("n"), *[F.first(c).alias(c) for c in ("cells", "prefix", *_PARITIES)])
     nodes = run.write(nodes, "nodes")
     tokens = nodes.select("node", "n", F.posexplode("prefix").alias("p", "token"))
     several = run.write(tokens.groupBy("token").count().where("count > 1").select("token"), "shared")
@@ -178,12 +194,13 @@ def _linked(run: Scratch, docs: DataFrame, id_col: str, text_col: str, size: int
     labelled = run.write(labelled.select("token", "node", "n", "p", F.coalesce("component", "node").alias("label")), "labelled")
     # then all pairs between groups
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    rest = run.write(labelled.join(mixed, "token"), "mixed")
+    told = nodes.select(F.col("node").alias("_node"), *_PARITIES)
+    rest = run.write(labelled.join(mixed, "token").join(told, F.col("node") == F.col("_node")).drop("_node"), "mixed")
     first = F.col("n") - F.col("p") >= 2 * similarity / (1 + similarity) * F.col("n") - 1e-9
-    x = rest.where(first).select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("label").alias("al"))
-    y = rest.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("label").alias("bl"))
+    x = rest.where(first).select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("label").alias("al"), *[F.col(q).alias(f"a{q}") for q in _PARITIES])
+    y = rest.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("label").alias("bl"), *[F.col(q).alias(f"b{q}") for q in _PARITIES])
     smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    pairs = x.join(y, "token").where((F.col("al") != F.col("bl")) & smaller & _fits(similarity)).select("a", "b").distinct()
+    pairs = x.join(y, "token").where((F.col("al") != F.col("bl")) & smaller & _fits(similarity) & _near_parities(similarity)).select("a", "b").distinct()
     links = links.unionByName(similar(run.write(pairs, "pairs")))
     labels = connected_components(links)
 

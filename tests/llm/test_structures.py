@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelight.llm import merkle, records, variants
+from pagelight.llm import merkle, overlap, records, variants
 from pagelight.llm.common import Scratch, scratch_path
 from pagelight.llm.ordering import numbered, running_start
 
@@ -296,3 +296,37 @@ def test_records_of_awkward_rows(spark):
     ordered = sorted(got, key=lambda r: r["start"])
     assert [r["start"] for r in ordered] == [0, *np.cumsum([r["n_tokens"] for r in ordered])[:-1].tolist()] and [r["id"] for r in ordered] == [None, 1, 1, 1, 2]
     assert records.round_trip(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+# --- near copies of texts made of the same passages -------------------------------------------------------
+
+
+def test_few_pairs_of_common_passages(spark, monkeypatch):
+    """Texts of 5 of 50 standard lines, none similar: pairs stay far below the texts, where a share of all pairs would be thousands. Near copies among them are linked."""
+    rng = random.Random(8)
+    lines = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(50)]
+    texts = {tuple(sorted(rng.sample(range(50), 5))) for _ in range(2500)}
+    rows = [(i, "\n".join(lines[k] for k in t)) for i, t in enumerate(sorted(texts))]
+    rows += [(10_000 + i, t + " and") for i, (_, t) in enumerate(rows[:5])]
+    made, write = {}, Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name in ("pairs", "proposed"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    found = overlap.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).where("id <> component").collect()
+    assert {(r["id"], r["component"]) for r in found} == {(10_000 + i, i) for i in range(5)}
+    assert made["pairs"] < 300
+
+
+def test_parities_never_lose_a_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 40, 900):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        for extra in (0, 1, n // 10):
+            b = np.unique(np.concatenate((a[extra:], rng.integers(-(2**63), 2**63 - 1, extra))))
+            differ = sum(int(x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(overlap._parities(a), overlap._parities(b)))
+            assert differ <= len(np.setxor1d(a, b))
