@@ -99,6 +99,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """docs.mapInArrow(run) for a run that only leaves out rows; columns may have any names, as run sees them as c0, c1 and so on."""
+    plain = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

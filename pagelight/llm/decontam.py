@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import quoted, text_batches, unused
+from pagelight.llm.common import filtered, materialize, quoted, text_batches, unused
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Characters of items that are indexed at a time.
@@ -214,9 +214,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs in which no item is found, all columns as they are."""
+    """The rows of docs in which no item is found, all columns as they are. Of a benchmark in several parts, what one part leaves is written before
+    the next one is asked, so that a worker holds one part."""
     text_batches(docs.sparkSession)
-    at, schema = docs.columns.index(text_col), docs.schema
+    at, left = docs.columns.index(text_col), None
 
     def without(docs: DataFrame, index: Index) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -226,6 +227,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
             for b in batches:
                 yield b.filter(pa.array([not index.matches(t.as_py() or "") for t in b.column(at)], pa.bool_()))
 
-        return docs.mapInArrow(run, schema)
+        return filtered(docs, run)
 
-    return reduce(without, indexes(benchmark, **options), docs)
+    for index in indexes(benchmark, **options):
+        left = without(docs if left is None else materialize(left, "leaks"), index)
+    return left

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import COMMON_WORDS, quoted, text_batches
+from pagelight.llm.common import COMMON_WORDS, filtered, quoted, text_batches
 
 SAMPLE, THRESHOLD = 20_000, 0.7
 #: Letters that a stem has, and what a learned word or stem must have: so much evidence (nats, over the share of toxic texts), in
@@ -233,4 +233,4 @@ def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
             s = m.scores(np.array([features(t.as_py() or "", m.learned) for t in b.column(at)], float).reshape(-1, N_FEATURES))
             yield b.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)

@@ -322,6 +322,32 @@ def test_few_pairs_of_common_passages(spark, monkeypatch):
     assert made["pairs"] < 300
 
 
+def test_pipeline_stages_take_any_rows(spark, sf):
+    """Nulls, empty, blank and long texts, repeated rows, clashing and dotted names, through every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    calm = "the garden was quiet and the rain fell softly on old stones near the river bank today"
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first()["text"]
+    rows = [(1, calm), (2, calm + " again"), (2, calm + " again"), (3, None), (4, ""), (5, " \n\t"), (None, calm), (None, None), (6, "other words " * 40_000), (6, "one id two texts that differ in every word"), (7, "password=abcdef123456XYZ and nothing else here at all")]
+    rows += [(8, f"some words before it {leak} and some words after it")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, `a.b` string, key int")
+    for c in ("id", "kept", "component", "_row", "_t", "c0", "c1", "word", "n"):
+        docs = docs.withColumn(c, F.lit(0))
+    for table in (docs, docs.limit(0)):
+        step, columns = table, docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            step = corpus_pipeline.materialize(stage(spark, step, sf), f"t-{name}")
+            assert step.columns == columns and step.where(F.col("`a.b`") != "x").count() == 0
+        kept = sorted(((r["doc_id"], r["text"]) for r in step.select("doc_id", "text").collect()), key=repr)
+        out = {(r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.STAGES[-1][1](spark, step, sf).collect()}
+        assert len(out) == len(kept)
+        if table is docs:
+            ids = [i for i, _ in kept]
+            assert sorted(i for i in ids if i is not None) == [1, 3, 6, 6, 7] and ids.count(None) == 2 and (3, None) in kept
+            assert [t for i, t in kept if i == 7] == ["[SECRET] and nothing else here at all"] or "abcdef123456XYZ" not in dict(kept)[7]
+        else:
+            assert kept == []
+
+
 def test_parities_never_lose_a_pair():
     rng = np.random.default_rng(9)
     for n in (1, 3, 40, 900):
