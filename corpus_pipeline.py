@@ -1,4 +1,11 @@
-"""A corpus pipeline: each stage takes what its predecessor kept, written as Parquet and read again."""
+"""A corpus pipeline: each stage takes what its predecessor kept, written as Parquet and read again.
+
+Rows of any kind go through all stages. A null text counts as empty: it is civil, near copies of it are the other empty and blank texts, it holds no benchmark
+passage and no secret, and has no tokens. A row with a null id is never a copy of another and stays, as its id can't tell it from others.
+Repeated rows, equal in id and text, become one; of rows of one id with other texts each is judged by its own text. Ties, as near copies of the same
+smallest id, are settled by the texts' hashes. A very long text is judged whole in every stage. An empty table gives an empty result. Columns beside those of
+`documents` go along untouched, whatever their names, until the last stage, which returns ids and digests.
+"""
 
 from __future__ import annotations
 
