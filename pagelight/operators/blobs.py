@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelight.functions import scalar
 from pagelight.operators import pages
+from pagelight.operators.stages import Stages
 
 
 def numbered_runs(binary: DataFrame) -> DataFrame:
@@ -50,8 +51,9 @@ def _roots(t: pa.Table) -> pa.Table:
 
 
 def components(binary: DataFrame) -> DataFrame:
-    """(page_id, seq, x, y, w, h, pixel_count), numbered from 0 by the top and left of their boxes, then by their first pixel."""
-    runs = numbered_runs(binary)
+    """(page_id, seq, x, y, w, h, pixel_count), numbered from 0 by the top and left of their boxes, then by their first pixel. The runs are written, as
+    four joins read them. Pages that don't fit a task go through `tiles`."""
+    runs = Stages(binary.sparkSession, "runs").write(numbered_runs(binary), "runs")
     own = runs.select("page_id", F.col("run").alias("a"), F.col("run").alias("b"))
     roots = own.unionByName(neighbours(runs)).groupBy("page_id").applyInArrow(_roots, "page_id long, run int, root int")
     found = runs.join(roots, ["page_id", "run"]).groupBy("page_id", "root").agg(

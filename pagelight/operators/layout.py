@@ -29,30 +29,46 @@ def text_blobs(components: DataFrame) -> DataFrame:
 
 
 def _grown(t: pa.Table) -> pa.Table:
-    """line_no of one page's blobs, from 0 by the top of the line. Only rows that a later blob can still reach are looked at: blobs come by their
-    middles, so none begins more than half the greatest height above the middle of this one."""
-    y, x, w, h = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "w", "h"))
-    tops, heights, reach = y.tolist(), h.tolist(), int(h.max(initial=0)) // 2
-    top, bottom, row_of = [], [], np.empty(len(y), np.int64)
-    near: list[int] = []  # rows, oldest first
-    for i in np.lexsort((t.column("seq").to_numpy(), x, y + h // 2)).tolist():
-        first, end = tops[i], tops[i] + heights[i]
+    """line_no of one page's blobs, from 0 by the top of the line.
+
+    Blobs fall into bands of the page that share no height with each other. Where any two blobs of a band overlap, it is one row. The blobs of other
+    bands go one by one, and only rows that a later blob can still reach are looked at: they come by their middles, so none begins more
+    than half the greatest height above the middle of this one."""
+    y, x, h = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "h"))
+    if not len(y):
+        return t.append_column("line_no", pa.array([], pa.int32()))
+    end, order = y + h, np.lexsort((t.column("seq").to_numpy(), x, y + h // 2))
+    rank = np.empty(len(y), np.int64)
+    rank[order] = np.arange(len(y))
+    by_top = np.argsort(y, kind="stable")
+    opens = np.concatenate(([True], y[by_top][1:] >= np.maximum.accumulate(end[by_top])[:-1]))
+    band = np.empty(len(y), np.int64)
+    band[by_top] = np.cumsum(opens) - 1
+    first = np.flatnonzero(opens)
+    plain = np.maximum.reduceat(y[by_top], first) < np.minimum.reduceat(end[by_top], first)
+    # rows: a band each, then those of the other bands; where they begin, and when they were begun
+    top, begun = y[by_top][first].tolist(), np.minimum.reduceat(rank[by_top], first).tolist()
+    row_of = band.copy()
+    bottom, near, reach = [0] * len(top), [], int(h.max()) // 2
+    for i in order[~plain[band[order]]].tolist():
+        a, b = int(y[i]), int(end[i])
         best, most = -1, 0
         for row in near:
-            shared = min(bottom[row], end) - max(top[row], first)
+            shared = min(bottom[row], b) - max(top[row], a)
             if shared > most:
                 best, most = row, shared
         if best < 0:
             best = len(top)
-            top.append(first)
-            bottom.append(end)
-            out_of_reach = first + heights[i] // 2 - reach
-            near = [row for row in near if bottom[row] > out_of_reach]
+            top.append(a)
+            bottom.append(b)
+            begun.append(int(rank[i]))
+            near = [row for row in near if bottom[row] > a + (b - a) // 2 - reach]
             near.append(best)
         row_of[i] = best
-        top[best], bottom[best] = min(top[best], first), max(bottom[best], end)
+        top[best], bottom[best] = min(top[best], a), max(bottom[best], b)
+    used = np.unique(row_of)
     place = np.empty(len(top), np.int64)
-    place[np.argsort(top, kind="stable")] = np.arange(len(top))
+    place[used[np.lexsort((np.array(begun)[used], np.array(top)[used]))]] = np.arange(len(used))
     return t.append_column("line_no", pa.array(place[row_of].astype(np.int32)))
 
 

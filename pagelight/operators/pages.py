@@ -27,13 +27,13 @@ def otsu_of(h: DataFrame) -> DataFrame:
     c = h.select(
         "page_id", "px", F.sum("n").over(run).alias("wb"), F.sum(F.col("n") * F.col("px")).over(run).alias("sb"),
         F.sum("n").over(w).alias("total"), F.sum(F.col("n") * F.col("px")).over(w).alias("sum"),
-    ).where("wb < total")
+    )
     exact = lambda x: x.cast("decimal(19,0)")
     between = exact(F.col("sb") * F.col("total") - F.col("sum") * F.col("wb"))
     top, under = between * between, exact(F.col("wb")) * exact(F.col("total") - F.col("wb"))
-    c = c.withColumn("v", (top - top % under) / under)  # a whole number: the remainder goes before the division
-    best = c.where("v > 0").groupBy("page_id").agg(F.min_by("px", F.struct(-F.col("v"), F.col("px"))).alias("threshold"))
-    return h.select("page_id").distinct().join(best, "page_id", "left").select("page_id", F.coalesce("threshold", F.lit(0)).cast("int").alias("threshold"))
+    c = c.withColumn("v", F.when(F.col("wb") < F.col("total"), (top - top % under) / under))  # a whole number: the remainder goes before the division
+    best = F.min_by("px", F.when(F.col("v") > 0, F.struct(-F.col("v"), F.col("px"))))  # levels without a score don't count
+    return c.groupBy("page_id").agg(F.coalesce(best, F.lit(0)).cast("int").alias("threshold"))
 
 
 def binarize(pixels: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def slow_columns(lines):
 def test_rows_and_columns_that_meet(spark):
     rng = np.random.default_rng(7)
     for n, high in ((200, 300), (400, 4000), (300, 60)):
-        found = [(int(x), int(y), 10, int(h)) for x, y, h in zip(rng.integers(0, 500, n), rng.integers(0, high, n), rng.integers(1, 60, n))]
+        found = [(int(x), int(y), 10, int(h)) for x, y, h in zip(rng.integers(0, 500, n), rng.integers(0, high, n), rng.integers(0, 60, n))]
         df = spark.createDataFrame([(1, i, *b, 1) for i, b in enumerate(found)], "page_id long, seq int, x int, y int, w int, h int, pixel_count long")
         assert [r["line_no"] for r in layout.detect_lines(df).orderBy("seq").collect()] == slow_lines(found)
         lines = [(int(x), int(x + w), int(y)) for x, w, y in zip(rng.integers(0, 900, n), rng.integers(0, 200, n), rng.integers(0, high, n))]
@@ -175,3 +175,17 @@ def test_page_pipeline_with_blank_lines(spark):
         results.append({r["page_id"]: r["blocks"] for r in recognize.recognize(rasters, Engine(spark, small_model()).model, size).collect()})
     assert results[0] == results[2] and results[1] == results[3] and reads.value == 4 * 3
     assert results[1][0][0]["lines"][0]["words"][0]["text"] == "aaaaa"
+
+
+def test_lines_in_sql(spark):
+    """The table function gives what the DataFrame form gives."""
+    from pagelight.sources import model
+
+    m = model.load(small_model())
+    crops = tiles.cropped(tiles.cut(raster_of(spark, page()).drop("channels")), spark.createDataFrame([(0, 0, 20, 20, 132, 40), (0, 1, 100, 20, 132, 40), (0, 2, 0, 0, 10, 10)], "page_id long, line_no int, x int, y int, right int, bottom int"))
+    want = sorted(map(tuple, recognize.recognize_lines(crops, m).collect()))
+    recognize.register(spark, m)
+    crops.createOrReplaceTempView("crops")
+    got = spark.sql("SELECT page_id, line_no, r.text, r.confidences, r.timesteps FROM crops, LATERAL recognize_line(width, height, data) r").collect()
+    assert sorted(map(tuple, got)) == want
+    assert want[0][2].startswith("a") and want[1][2].startswith("a") and len(want) == 3
