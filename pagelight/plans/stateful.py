@@ -161,7 +161,7 @@ _DESKEWED = f"""WITH {_PADDED}{_SKEW}, tp AS (SELECT page_id, degrees FROM sc WH
 SELECT page_id, y, x, CASE WHEN degrees = 0 THEN im[y * 64 + x + 1] WHEN sx >= 0 AND sy >= 0 AND sx < 64 AND sy < 64 THEN floor(greatest(0::FLOAT, least(255::FLOAT, {_bilinear('im', '64', '64')})) + 0.5::FLOAT)::INT ELSE 255 END AS px FROM so"""
 _INPUTS = f"""WITH {_PADDED}, {_IMAGES}, mm AS (SELECT page_id, im, list_min(im)::FLOAT AS black, list_max(im)::FLOAT AS white FROM im),
  so AS (SELECT page_id, im, black, CASE WHEN white > black THEN (white - black) / 2::FLOAT ELSE 1::FLOAT END AS half, y * 36 + x AS place, x::FLOAT * 63::FLOAT / 35::FLOAT AS sx, y::FLOAT * 63::FLOAT / 35::FLOAT AS sy FROM mm CROSS JOIN (SELECT unnest(range(36))::INT AS y) CROSS JOIN (SELECT unnest(range(36))::INT AS x))
-SELECT page_id, 36 AS rows, 36 AS columns, place, round(((({_bilinear('im', '64', '64')}) - black) / half - 1::FLOAT)::DOUBLE, 5) AS value FROM so"""
+SELECT page_id, 36 AS rows, 36 AS columns, place, round(((({_bilinear('im', '64', '64')}) - black) / half - 1::FLOAT)::DOUBLE, 5) + 0.0 AS value FROM so"""
 
 _BEAM = f"""WITH RECURSIVE {_FRAMES}, so AS (SELECT line_id, t, logits, list_max(logits) AS top FROM fr), pr AS (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY t) AS k, list_transform(logits, lambda x: exp(x - top)) AS e FROM so),
  st AS MATERIALIZED (SELECT line_id, k, code, gain, rank FROM (SELECT line_id, k, code, ln(greatest(p, 1e-30)) AS gain, row_number() OVER (PARTITION BY line_id, k ORDER BY p DESC, code) AS rank FROM (SELECT line_id, k, unnest(e) / list_sum(e) AS p, generate_subscripts(e, 1) - 1 AS code FROM pr)) WHERE rank <= 5),
@@ -169,7 +169,7 @@ _BEAM = f"""WITH RECURSIVE {_FRAMES}, so AS (SELECT line_id, t, logits, list_max
  UNION ALL SELECT line_id, k, codes, score, prior, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, codes) AS place FROM (
   SELECT * FROM (SELECT be.line_id, st.k, CASE WHEN st.code = 0 OR st.code = be.prior THEN be.codes ELSE list_append(be.codes, st.code::INT) END AS codes, be.score + st.gain AS score, CASE WHEN st.code = 0 THEN -1 ELSE st.code END AS prior, be.place AS came, st.rank FROM be JOIN st ON st.line_id = be.line_id AND st.k = be.k + 1)
   QUALIFY row_number() OVER (PARTITION BY line_id, codes ORDER BY score DESC, came, rank) = 1) QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY score DESC, codes) <= 10)
-SELECT line_id, codes, round(score, 6) AS score FROM be QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY k DESC, place) = 1"""
+SELECT line_id, codes, round(score, 6) + 0.0 AS score FROM be QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY k DESC, place) = 1"""
 
 
 
@@ -183,7 +183,7 @@ def _lstm() -> str:
  ls AS (SELECT DISTINCT line_id, 0::BIGINT AS k, -1 AS t, [0.0, 0.0]::DOUBLE[] AS c, [0.0, 0.0]::DOUBLE[] AS h FROM fr
  UNION ALL SELECT line_id, k, t, c, list_transform([1, 2], lambda i: {shown}) AS h FROM (SELECT line_id, k, t, go, list_transform([1, 2], lambda i: greatest(-100, least(100, {kept}))) AS c FROM (
   SELECT line_id, k, t, c, {gate(0)} AS ce, {gate(1)} AS gi, {gate(2)} AS fo, {gate(3)} AS go FROM (SELECT od.line_id, od.k, od.t, ls.c, list_concat(od.logits, ls.h) AS v, wg FROM ls JOIN od ON od.line_id = ls.line_id AND od.k = ls.k + 1 CROSS JOIN wt))))
-SELECT line_id, t, unnest([0, 1]) AS state, round(unnest(h), 6) AS h FROM ls WHERE k > 0"""
+SELECT line_id, t, unnest([0, 1]) AS state, round(unnest(h), 6) + 0.0 AS h FROM ls WHERE k > 0"""
 
 
 _LINE_WORDS = """, tl AS (SELECT tb.*, line_no FROM tb JOIN ln USING (page_id, seq)), gp AS (SELECT *, lead(x) OVER (PARTITION BY page_id, line_no ORDER BY x, seq) - (x + w) AS gap FROM tl),
