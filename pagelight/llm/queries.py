@@ -95,4 +95,4 @@ SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict, NULL::VARC
 
 #: Searches by exact SQL are given only where the operator's result is exact. op8's SQL has the rules alone: pages hold no redirects
 #: or canonical links in these tables; tests compare aliases with brute force.
-ORACLE_SQL = {"op3_warc": _WARC_SQL, "op8_urls": _URL_SQL, "op11_merkle": sql.merkle(), "op12_variants": sql.variants()}
+ORACLE_SQL = {"op1_sharding": sql.sharding(sharding.SLOTS, sharding.SHARDS), "op3_warc": _WARC_SQL, "op8_urls": _URL_SQL, "op11_merkle": sql.merkle(), "op12_variants": sql.variants()}

@@ -1,4 +1,4 @@
-"""SQL for the queries over manifests and spelling variants."""
+"""SQL for the queries over shards, manifests and spelling variants."""
 
 from __future__ import annotations
 
@@ -62,3 +62,16 @@ top AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
 f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN top ON top.word = v.word AND k = 1),
 chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL)
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, root FROM f JOIN chain ON chain.word = f.word JOIN f AS g ON g.word = chain.root AND g.form IS NULL"""
+
+
+def sharding(slots: int, shards: int) -> str:
+    """The table is filled anew: in each step the next shard in turn claims the first free slot of its order of preference."""
+    number = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+    return f"""WITH RECURSIVE sh AS MATERIALIZED (SELECT i, 'shard-' || lpad(i::VARCHAR, 5, '0') AS name FROM range({shards}) AS r(i)),
+pr AS MATERIALIZED (SELECT i, name, {number.format("'offset:' || name")} % {slots} AS first, {number.format("'skip:' || name")} % ({slots} - 1) + 1 AS skip FROM sh),
+fl AS (SELECT 0 AS k, list_transform(range({slots}), lambda x: -1::BIGINT) AS tb
+ UNION ALL SELECT k + 1, list_transform(tb, lambda v, p: CASE WHEN p - 1 = slot THEN i ELSE v END) FROM (
+  SELECT k, tb, i, list_filter(list_transform(range({slots}), lambda j: (first + j * skip) % {slots}), lambda x: tb[x + 1] < 0)[1] AS slot FROM fl JOIN pr ON pr.i = k % {shards} WHERE k < {slots})),
+full_table AS MATERIALIZED (SELECT tb FROM fl WHERE k = {slots}),
+pl AS (SELECT doc_id, ({number.format("coalesce(doc_id::VARCHAR, '')")} % {slots})::INT AS slot FROM documents)
+SELECT doc_id, slot, name AS shard FROM pl, full_table JOIN sh ON sh.i = tb[slot + 1]"""
