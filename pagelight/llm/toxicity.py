@@ -148,8 +148,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     xs, ys = [], []
     for m, w, a, b in blocks:
         xs.append(float((s[a : b + 1] * weight[a : b + 1]).sum() / w))
-        ys.append((m * w + 0.5) / (w + 1.0))
-    return np.array(xs), np.maximum.accumulate(np.array(ys))
+        ys.append(m)
+    return np.array(xs), np.array(ys)
 
 
 class ToxicityModel:

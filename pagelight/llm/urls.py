@@ -9,8 +9,9 @@ different host and path, and the longest rule whose path fits is taken; no URL i
 the html first, so only URLs, not pages, are moved.
 
 A null URL, or one without ``://``, has an empty host and path and no aliases. Repeated rows get the same verdict. Of rules of equal length
-allow comes first. A link in a comment is none; very long pages are searched whole; other columns are ignored, whatever their
-names; an empty table gives an empty result.
+allow comes first. A link in a comment (one without an end reaches to the page's), in a script or in another element read raw is none. Attributes are told
+apart by their quotes, the first of a name counts, and character references in targets are written out; ``rel`` and ``http-equiv`` are taken as they are written.
+Very long pages are searched whole; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +26,15 @@ from pagelight.llm.components import connected_components
 #: (verdict, host, path prefix)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-_LINKS = r"(?is)<(?:link|meta|base)\b[^>]*>"
-_CANONICAL = r"""(?is)^<link\b.*\srel\s*=\s*(?:canonical(?=[\s/>])|"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?')"""
-_REFRESH = r"""(?is)^<meta\b.*\shttp-equiv\s*=\s*["']?refresh\b"""
+#: Attributes of a tag, with quoted values that may hold any character. All loops are possessive, so long pages need no stack.
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+#: What holds no tags: comments and the text of elements that are read raw, up to their end or the page's.
+_RAW = rf"""(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])|\z)"""
+_LINKS = rf"(?is)<(?:link|meta|base)(?=[\s/>]){_ATTRIBUTES}>"
+_ATTRIBUTE = r"""(?s)([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
+_ENTITY = r"(?i)&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|amp|lt|gt|quot|apos|colon|sol|quest|num|period|equals);?"
+#: Named references that URLs are written with (fixed values).
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "colon": ":", "sol": "/", "quest": "?", "num": "#", "period": ".", "equals": "="}
 
 
 def host_of(url: Column) -> Column:
@@ -64,10 +71,36 @@ def canonical_form(url: Column) -> Column:
     return F.concat(ascii_lower(head), F.substr(bare, F.length(head) + 1))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, quoted or not; null where it isn't there."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.when(tag.rlike(pattern), F.trim(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])))
+def _attributes(tag: Column) -> Column:
+    """A tag's attributes in order, names in lower case, values without quotes."""
+    found = F.regexp_extract_all(F.regexp_replace(tag, r"(?s)^<[a-zA-Z]+|/?>$", " "), F.lit(_ATTRIBUTE), F.lit(0))
+
+    def parts(a: Column) -> Column:
+        value = F.regexp_extract(a, _ATTRIBUTE, 2)
+        return F.struct(ascii_lower(F.regexp_extract(a, _ATTRIBUTE, 1)).alias("name"), F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value).alias("value"))
+
+    return F.transform(found, parts)
+
+
+def _value(tag: Column, name: str) -> Column:
+    """The first attribute of that name, null where there is none."""
+    return F.try_element_at(F.filter(tag["attributes"], lambda a: a["name"] == name), F.lit(1))["value"]
+
+
+def unescaped(text: Column) -> Column:
+    """Character references written out, numbers of no character as U+FFFD; names other than those of `_NAMED` stay."""
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def character(e: Column) -> Column:
+        body = ascii_lower(F.regexp_extract(e, "^&([^;]*)", 1))
+        code = F.when(body.startswith("#x"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(body.startswith("#"), F.substr(body, F.lit(2))).cast("long")
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNotNull(), "\ufffd"), names[body], e)
+
+    between = F.split(text, _ENTITY)
+    references = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), character)
+    paired = F.zip_with(between, F.concat(references, F.array(F.lit(""))), lambda b, r: F.concat(b, r))
+    return F.when(text.contains("&"), F.array_join(paired, "")).otherwise(text)
 
 
 def _without_dots(path: Column) -> Column:
@@ -100,16 +133,22 @@ def resolved(rows: DataFrame, target: str, url: str, out: str) -> DataFrame:
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(u, v): a page's URL and a redirect or canonical target, both in canonical form; a page's base comes before its URL."""
     url, html = F.col(quoted(url_col)), F.col(quoted(html_col)).cast("string")
-    tags = F.regexp_extract_all(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), F.lit(_LINKS), F.lit(0))
-    found = pages.where(url.contains("://") & html.rlike(r"(?i)canonical|refresh")).select(url.alias("url"), tags.alias("tags"))
-    base = F.try_element_at(F.filter(F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b")), lambda t: _attribute(t, "href")), lambda h: h.isNotNull()), F.lit(1))
-    canonical = F.transform(F.filter("tags", lambda t: t.rlike(_CANONICAL)), lambda t: _attribute(t, "href"))
-    refresh = F.transform(F.filter("tags", lambda t: t.rlike(_REFRESH)), lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"']*)""", 1)))
-    found = found.where(F.size("tags") > 0).select("url", base.alias("base"), F.concat(canonical, refresh).alias("targets"))
-    found = found.select("url", F.explode(F.array_distinct(F.filter("targets", lambda t: t != ""))).alias("target"), "base")
-    plain = lambda c: F.regexp_replace(c, "&amp;", "&")
-    found = resolved(found.where(~F.col("target").startswith("#")).withColumn("base", plain(F.coalesce("base", F.lit("")))), "base", "url", "_based")
-    found = found.withColumn("seen", F.when(F.col("base") != "", F.col("_based")).otherwise(F.col("url"))).withColumn("target", plain(F.col("target")))
+    tags = F.regexp_extract_all(F.regexp_replace(html, _RAW, " "), F.lit(_LINKS), F.lit(0))
+    # tags are cut out before their attributes are looked at, once for each page
+    found = pages.where(url.contains("://") & html.rlike(r"(?i)canonical|refresh")).select(url.alias("url"), tags.alias("tags")).where(F.size("tags") > 0)
+    found = materialize(found, "url-tags")
+    split = F.transform("tags", lambda t: F.struct(ascii_lower(F.regexp_extract(t, r"^<([a-zA-Z]+)", 1)).alias("kind"), _attributes(t).alias("attributes")))
+    found = found.select("url", F.explode(F.array(split)).alias("tags"))  # named once, used several times
+    has = lambda text, word: F.array_contains(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"\s+"), word)
+    base = F.try_element_at(F.filter(F.transform(F.filter("tags", lambda t: t["kind"] == "base"), lambda t: _value(t, "href")), lambda h: h.isNotNull()), F.lit(1))
+    canonical = F.transform(F.filter("tags", lambda t: (t["kind"] == "link") & has(_value(t, "rel"), "canonical")), lambda t: _value(t, "href"))
+    fresh = F.filter("tags", lambda t: (t["kind"] == "meta") & (F.trim(ascii_lower(_value(t, "http-equiv"))) == "refresh"))
+    # a content is written out before its URL is looked for, an href after
+    refresh = F.transform(fresh, lambda t: F.regexp_extract(unescaped(_value(t, "content")), r"""(?is)\burl\s*=\s*["']?([^"']*)""", 1))
+    every = F.concat(F.transform(canonical, unescaped), refresh)
+    found = found.select("url", F.trim(F.coalesce(unescaped(base), F.lit(""))).alias("base"), F.explode(F.array_distinct(F.transform(every, lambda t: F.trim(t)))).alias("target"))
+    found = resolved(found.where((F.col("target") != "") & ~F.col("target").startswith("#")), "base", "url", "_based")
+    found = found.withColumn("seen", F.when(F.col("base") != "", F.col("_based")).otherwise(F.col("url")))
     found = resolved(found, "target", "seen", "to").select(canonical_form(F.col("url")).alias("u"), canonical_form(F.col("to")).alias("v"))
     # written first: a filter moved below the steps would spell each of them out many times
     return materialize(found.distinct(), "url-edges").where("u <> v and v like '%://%'")

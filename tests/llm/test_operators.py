@@ -301,6 +301,14 @@ def test_toxicity_held_out(spark, sf01):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_calibrated_values_are_the_shares_of_their_steps():
+    from pagelight.llm.toxicity import isotonic
+
+    assert isotonic(np.array([-2.0, -1.0, 1.0, 2.0]), np.array([0.0, 0.0, 1.0, 1.0]))[1].tolist() == [0.0, 1.0]
+    xs, ys = isotonic(np.array([1.0, 2.0, 3.0, 4.0, 4.0, 5.0]), np.array([0.0, 1.0, 0.0, 1.0, 0.0, 1.0]))
+    assert xs.tolist() == [1.0, 3.25, 5.0] and ys.tolist() == [0.0, 0.5, 1.0]
+
+
 def test_toxicity_capitals_count_alike_at_all_lengths():
     for text in ("ΑΒΓδ ", "АБВг ", "ĀĂĄā ", "ABCd "):
         assert toxicity.features(text * 2000)[6] == toxicity.features(text)[6] == 0.6
@@ -501,6 +509,22 @@ def test_links_of_pages(spark):
     assert got == {1: "http://f.net/a/b?x=1", 3: "http://f.net/c", 5: "http://f.net/z/y", 6: "http://g.net/p?a;b&c"}
 
 
+def test_links_are_read_by_their_quotes_and_references(spark):
+    own = "http://f.net/a/b?q"
+    html = {
+        1: '<link title=" rel=canonical " href="/no">', 2: """<script>var s = '<link rel="canonical" href="/no">';</script>""", 3: '<!-- open <link rel="canonical" href="/no">', 4: '<link title="x > y" rel="canonical" href="/z">',
+        5: '<link rel=canonical href="http&#58;//g.net/&#x61;?x=1&amp;y=2">', 6: '<link rel=canonical href="/a&#38;b">', 7: "<link rel=canonical href=/q/r>", 8: '<link rel="canonical" href="/one" href="/two">',
+        9: '<script>a</script><link rel="canonical" href="/after">', 10: '<linker rel="canonical" href="/no">', 11: '<link rel="canonical" href=" /sp ">', 12: '<meta http-equiv="Refresh" content="0;url=/r&#x2F;s">',
+        13: '<link rel="canonical">', 14: '<base href="/b/"><base href="/c/"><link href="d" rel="CANONICAL">', 15: '<title><link rel="canonical" href="/no"></title>', 16: '<link rel="canonical" href="/e&nosuch;&#55296;f">',
+        17: "<p>" * 200_000 + '<link rel="canonical" ' + 'x="y" ' * 50_000 + 'href="/long">', 18: '<link/rel="canonical"/href="/slashed">', 19: '<link rel="canonical" href="/cut',
+    }
+    df = spark.createDataFrame([(i, f"{own}{i}", h) for i, h in html.items()], "page_id long, url string, html string")
+    got = {int(r["u"].rsplit("q", 1)[1]): r["v"].removeprefix("http://f.net") for r in urls.link_edges(df).collect()}
+    assert got == {
+        4: "/z", 5: "http://g.net/a?x=1&y=2", 6: "/a&b", 7: "/q/r", 8: "/one", 9: "/after", 11: "/sp", 12: "/r/s", 14: "/b/d", 16: "/e&nosuch;\ufffdf", 17: "/long", 18: "/slashed",
+    }
+
+
 def test_aliases_against_brute_force(spark):
     rng = random.Random(8)
     hosts = ["a.com", "b.example.org", "c.net", "example.org", "d.com", "e.net"]
