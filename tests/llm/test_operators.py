@@ -470,11 +470,49 @@ def test_ann_rough_distances_lose_nothing():
     tied = np.repeat(rng.normal(size=(20, 16)), 15, axis=0)
     with np.errstate(over="ignore"):
         for x in (near, wide, tied, wide[:11]):
-            for q, kept in zip(x[:40], ann._within(x[:40], x, 10)):
+            for q, kept in zip(x[:40], ann._within(*ann._rough(x[:40], x), 10)):
                 d = np.sqrt(((x - q) ** 2).sum(axis=1))
                 cut = np.partition(d, 10)[10]
                 assert set(np.nonzero(d <= cut)[0].tolist()) <= set(kept.tolist())
-    assert max(map(len, ann._within(tied[:40], tied, 10))) == 15
+    assert max(map(len, ann._within(*ann._rough(tied[:40], tied), 10))) == 15
+
+
+def test_ann_compares_the_lists_asked_alone():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(400, 8)), rng.normal(size=(30, 8))
+    within = [sorted({int(rng.integers(12)), int(rng.integers(12))}) for _ in x]
+    probed = [sorted(set(rng.integers(12, size=int(rng.integers(1, 5))).tolist())) for _ in y]
+    for q, p, (near, d) in zip(y, probed, ann.best_of_lists(y, probed, x, within, 10)):
+        may = [i for i, w in enumerate(within) if set(w) & set(p)]
+        all_d = np.sqrt(((x[may] - q) ** 2).sum(axis=1))
+        want = sorted(zip(all_d.tolist(), may))[:11]
+        assert sorted(zip(d.tolist(), near.tolist())) == want
+
+
+def _share_and_recall(m):
+    """Share of the vectors that queries are measured against, and recall."""
+    model = ann.Centroids(m, len(m), 10)
+    sizes, asked = np.bincount(model.lists(m)[1], minlength=len(model.points)), np.arange(0, len(m), max(100, len(m) // 100))
+    assert len(model.points) == len(m) // ann.LIST and sizes.sum() > len(m)
+    held, (q, ls) = {}, model.probed(m[asked])
+    for r, c in zip(*model.lists(m)):
+        held.setdefault(c, []).append(r)
+    found = [set().union(*(held.get(c, ()) for c in ls[q == i])) for i in range(len(asked))]
+    hit = 0
+    for i, f in zip(asked.tolist(), found):
+        d = ((m - m[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hit += len(f & set(np.argpartition(d, 10)[:10].tolist()))
+    return sum(map(len, found)) / len(asked) / len(m), hit / (10 * len(asked))
+
+
+def test_ann_searches_a_part_of_what_has_no_clusters(sf01):
+    import pyarrow.parquet as pq
+
+    given = np.array(pq.read_table(sf01.replace("sf0.01", "sf0.1") + "/embeddings.parquet").column("embedding").to_pylist(), float)
+    drawn = [np.random.default_rng(n).normal(size=(n, 64)) for n in (8000, 32_000)]
+    (small, *found), (middle, *_), (large, *_) = got = [_share_and_recall(m / np.linalg.norm(m, axis=1)[:, None]) for m in (given, *drawn)]
+    assert small < 1 and large < middle < 1 and all(recall >= 0.9 for _, recall in got)
 
 
 def test_ann_awkward(spark):
