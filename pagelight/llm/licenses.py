@@ -2,16 +2,18 @@
 
 A paragraph is a line. Its features are word unigrams and bigrams (ASCII-lower-cased words of letters,
 digits, dots, plus and minus signs), present or absent. A sparse logistic regression, one softmax
-over the licence families and a class "unknown", is trained on the driver from the notices below, whole, with words dropped,
-wrapped into lines, and with prose put around them: a corpus of fixed size. Probabilities are calibrated by a temperature fitted on
-notices left out; below ``CONFIDENT`` the class is unknown. A family must be confirmed by template comparison: the share of a
-template's shingles (three words) that the paragraph has.
+over the licence families and a class "unknown", is trained on the driver from the notices below and the short forms made of the
+licences' names, whole, with words dropped, wrapped into lines, and with prose put around them: a corpus of fixed size.
+Probabilities are calibrated by a temperature: of a model that never saw every ``LEFT_OUT``-th template and phrase of the class
+"unknown", it is the one that suits those best. Below ``CONFIDENT`` the class is unknown. A family must be confirmed by template
+comparison: the share of a template's shingles (three words, or the two of a template of two) that the paragraph has.
 
 A notice may be wrapped over lines. Lines that have a shingle of a family's templates, with at most one line between two
 of them, are judged together as a run of that family, and a line that isn't confirmed by itself takes the family of its run,
 if the run is confirmed (of several families, the one with the greatest containment).
 
-Lines without an anchor word cost one regular expression and get no row. No stretch of a template without an anchor has
+Lines without an anchor cost one regular expression and get no row. Anchors begin where a word does, which tells most places of a
+text apart at their first letter. No stretch of a template without an anchor has
 the confirming share of its shingles (`unanchored`, tested), so such a line could only be confirmed by scattered pieces. The weights and templates are
 fixed in size and broadcast. Sums are by (document, paragraph), combined map-side.
 
@@ -21,6 +23,7 @@ scores the first of ``FAMILIES`` counts; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 
@@ -102,9 +105,56 @@ TEMPLATES = {
     "cc0": ["dedicated to the public domain under cc0 1.0", "spdx-license-identifier cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
     "proprietary": ["all rights reserved", "all rights reserved no part of this work may be reproduced without permission"],
 }
+#: Names of the licences (fixed values: identifiers, titles and what they are called by), of which `short_forms` makes notices.
+NAMES = {
+    "apache": ["apache-2.0", "apache 2.0", "apache"],
+    "mit": ["mit", "mit-0", "mit-style", "expat"],
+    "isc": ["isc"],
+    "gpl": ["gpl", "gplv2", "gplv3", "gpl v2", "gpl v3", "gpl-2.0", "gpl-3.0", "gpl-2.0-only", "gpl-3.0-only", "gpl-2.0-or-later", "gpl-3.0-or-later", "gnu gpl"],
+    "lgpl": ["lgpl", "lgplv2.1", "lgplv3", "lgpl v3", "lgpl-2.1", "lgpl-3.0", "lgpl-2.1-only", "lgpl-3.0-only", "lgpl-2.1-or-later", "lgpl-3.0-or-later", "gnu lgpl"],
+    "agpl": ["agpl", "agplv3", "agpl v3", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "gnu agpl"],
+    "bsd": ["bsd", "bsd-2-clause", "bsd-3-clause", "bsd 2-clause", "bsd 3-clause", "2-clause bsd", "3-clause bsd", "bsd-style"],
+    "mpl": ["mpl", "mpl 2.0", "mpl-2.0", "mozilla public"],
+    "epl": ["epl", "epl-1.0", "epl-2.0", "eclipse public"],
+    "boost": ["bsl-1.0", "boost software", "boost"],
+    "zlib": ["zlib"],
+    "unlicense": ["unlicense"],
+    "cc-by": ["cc-by", "cc-by-4.0", "cc by 4.0", "cc-by-3.0"],
+    "cc-by-sa": ["cc-by-sa", "cc-by-sa-4.0", "cc by-sa 4.0", "cc-by-sa-3.0"],
+    "cc-by-nd": ["cc-by-nd", "cc-by-nd-4.0", "cc by-nd 4.0"],
+    "cc-by-nc": ["cc-by-nc", "cc-by-nc-4.0", "cc by-nc 4.0"],
+    "cc-by-nc-sa": ["cc-by-nc-sa", "cc-by-nc-sa-4.0", "cc by-nc-sa 4.0"],
+    "cc0": ["cc0", "cc0-1.0", "cc0 1.0"],
+    "proprietary": ["proprietary"],
+}
+#: Titles of the licences' whole texts, as their first lines have them.
+TITLES = {
+    "apache": ["apache license version 2.0 january 2004", "apache license version 2.0"], "mit": ["the mit license"], "gpl": ["gnu general public license version 2 june 1991", "gnu general public license version 3 29 june 2007"],
+    "lgpl": ["gnu lesser general public license version 2.1 february 1999", "gnu lesser general public license version 3 29 june 2007"], "agpl": ["gnu affero general public license version 3 19 november 2007"],
+    "mpl": ["mozilla public license version 2.0"], "epl": ["eclipse public license v 2.0"], "boost": ["boost software license version 1.0 august 17th 2003"],
+    "cc-by": ["creative commons attribution 4.0 international"], "cc-by-sa": ["creative commons attribution-sharealike 4.0 international"], "cc-by-nd": ["creative commons attribution-noderivatives 4.0 international"],
+    "cc-by-nc": ["creative commons attribution-noncommercial 4.0 international"], "cc-by-nc-sa": ["creative commons attribution-noncommercial-sharealike 4.0 international"], "cc0": ["creative commons cc0 1.0 universal"],
+}
 FAMILIES = [*TEMPLATES, "unknown"]
-ANCHOR = r"(?i)licen[sc]|copyright|spdx|permission|permitted|distribut|reserved|domain|creative|commons|software|warrant|liab|\bcc\b|gnu|the mit\b|apache|\bisc\b|\bbsd\b|mozilla|eclipse|binary|derived|conditions|compliance|except|obtain|reproduc|the (?:above|terms)"
-_DISTRACT = ["the license plate of the car", "a driving license is required", "copyright law in history", "ask for permission before you go", "redistribution of wealth", "she has a poetic licence", "license fees went up", "the software of the phone is old", "weather conditions were bad", "under no warranty the repair is not free", "a creative idea", "she was liable for the damages", "see the terms of the sale", "smoking is not permitted here", "the table is reserved for all of us"]
+#: Every how many templates one is left out for the calibration.
+LEFT_OUT = 4
+ANCHOR = (
+    r"(?i)(?<![a-z])(?:licen[sc]|unlicen|sublicen|copyright|spdx|permission|permitted|distribut|redistribut|reserved|domain|creative|commons|software|warrant|liab|cc(?![a-z])|gnu|the (?:mit|boost)(?![a-z])|[al]?gpl|[me]pl(?![a-z])|bsl(?![a-z])|zlib|expat(?![a-z])|proprietary|apache|isc(?![a-z])"
+    r"|bsd|mozilla|eclipse|binary|derived|conditions|compliance|except|obtain|reproduc|the (?:above|terms))"
+)
+_DISTRACT = [
+    "the license plate of the car", "a driving license is required", "copyright law in history", "ask for permission before you go", "redistribution of wealth", "she has a poetic licence", "license fees went up",
+    "the software of the phone is old", "weather conditions were bad", "under no warranty the repair is not free", "a creative idea", "she was liable for the damages", "see the terms of the sale",
+    "smoking is not permitted here", "the table is reserved for all of us", "sie kam mit der bahn und mit dem hund", "the mit students won the prize", "an apache helicopter flew over the town",
+    "the eclipse of the sun was seen at noon", "a gnu is a large animal of the plain", "the public domain is a debate of law", "the general public was not let in", "a fishing licence is sold at the shop",
+    "he lost his license to sell wine", "the distribution of water is free of charge", "all seats are reserved for the guests", "the license of the bar was not renewed",
+]
+
+
+def short_forms(family: str) -> list[str]:
+    """Notices that only name a licence, by rule from its names, and its titles."""
+    each = [f"{a}{n}{b}" for n in NAMES[family] for a, b in (("license ", ""), ("", " license"), ("spdx-license-identifier ", ""), ("licensed under ", ""), ("licensed under the ", ""), ("released under the ", " license"), ("under the terms of the ", ""))]
+    return list(dict.fromkeys(each + TITLES.get(family, [])))
 
 
 def words_of(text: str) -> list[str]:
@@ -123,45 +173,75 @@ def unanchored(template: str) -> float:
     return (max(free, default=size - 1) - size + 1) / (len(w) - size + 1)
 
 
-def train(seed: int = 5, per_template: int = 40, rounds: int = 300) -> tuple[dict[str, list[float]], list[float]]:
-    """(weights by feature, intercepts), already divided by the calibration temperature."""
+def _corpus(seed: int, per_template: int, per_short: int) -> list[tuple[list[str], int, bool]]:
+    """(words, class, of what is left out for the calibration) of the training's paragraphs."""
     rng = random.Random(seed)
     prose = lambda n: rng.choices(COMMON_WORDS, k=n)
     rows = []
     for family, texts in TEMPLATES.items():
-        for t in texts:
-            for i in range(per_template):
-                w = [x for x in words_of(t) if rng.random() > 0.06] if i else words_of(t)
+        whole = [(t, per_template) for t in texts] + [(t, per_short) for t in short_forms(family)]
+        for k, (t, copies) in enumerate(whole):
+            for i in range(copies):
+                w = [x for x in words_of(t) if len(t) < 60 or rng.random() > 0.06] if i else words_of(t)
                 if i % 2 and len(w) > WRAPPED:  # a line of a wrapped notice
                     at = rng.randrange(len(w) - WRAPPED + 1)
                     w = w[at : at + WRAPPED]
-                rows.append((prose(rng.choice([0, 0, 3, 8])) + w + prose(rng.choice([0, 0, 3, 8])), FAMILIES.index(family)))
-    for i in range(per_template * 12):
-        mid = words_of(rng.choice(_DISTRACT)) if i % 2 else []
-        rows.append((prose(rng.randint(3, 20)) + mid + prose(rng.randint(0, 10)), len(FAMILIES) - 1))
-    known = {f for texts in TEMPLATES.values() for t in texts for f in features_of(words_of(t))} | {f for t in _DISTRACT for f in features_of(words_of(t))}
-    vocab = {f: i for i, f in enumerate(sorted(known))}
-    x = np.zeros((len(rows), len(vocab)))
-    for r, (w, _) in enumerate(rows):
-        for f in features_of(w):
-            if f in vocab:
-                x[r, vocab[f]] = 1
-    y = np.eye(len(FAMILIES))[[c for _, c in rows]]
-    held = np.arange(len(rows)) % 5 == 4
-    w, b = np.zeros((len(vocab), len(FAMILIES))), np.zeros(len(FAMILIES))
-
-    def soft(z):
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    for _ in range(rounds):
-        g = soft(x[~held] @ w + b) - y[~held]
-        w -= 1.0 * (x[~held].T @ g / len(g))
-        w = np.sign(w) * np.maximum(np.abs(w) - 2e-4, 0)  # sparse
-        b -= 1.0 * g.mean(axis=0)
-    z = x[held] @ w + b
-    heat = min((0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=lambda t: -np.log(soft(z / t)[y[held] > 0] + 1e-12).mean())
-    return {f: (w[i] / heat).round(6).tolist() for f, i in vocab.items() if np.abs(w[i]).max() > 0}, (b / heat).round(6).tolist()
+                rows.append((prose(rng.choice([0, 0, 3, 8])) + w + prose(rng.choice([0, 0, 3, 8])), FAMILIES.index(family), k % LEFT_OUT == LEFT_OUT - 1))
+    for i in range(per_template * 20):
+        k = rng.randrange(len(_DISTRACT))
+        rows.append((prose(rng.randint(3, 20)) + (words_of(_DISTRACT[k]) if i % 2 else []) + prose(rng.randint(0, 10)), len(FAMILIES) - 1, k % LEFT_OUT == LEFT_OUT - 1))
+    return rows
+
+
+def soft(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int, rate: float = 1.0, sparse: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, intercepts) of the regression by proximal gradient steps with momentum."""
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    last, back = w, np.ascontiguousarray(x.T)
+    for i in range(rounds):
+        ahead = w + (i / (i + 3)) * (w - last)
+        g = (soft(x @ ahead + b) - y) / np.float32(len(y))
+        last, step = w, ahead - rate * (back @ g)
+        w = np.sign(step) * np.maximum(np.abs(step) - np.float32(rate * sparse), 0)
+        b = b - rate * g.sum(axis=0)
+    return w, b
+
+
+def prepared(seed: int = 5, per_template: int = 40, per_short: int = 4) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(features, present or absent by paragraph, class by paragraph, left out)."""
+    rows = _corpus(seed, per_template, per_short)
+    texts = [t for family, own in TEMPLATES.items() for t in own + short_forms(family)] + _DISTRACT
+    names = sorted({f for t in texts for f in features_of(words_of(t))} | set(COMMON_WORDS))
+    at = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)), np.float32)
+    for r, (w, _, _) in enumerate(rows):
+        x[r, [at[f] for f in features_of(w) if f in at]] = 1
+    return names, x, np.eye(len(FAMILIES), dtype=np.float32)[[c for _, c, _ in rows]], np.array([o for *_, o in rows])
+
+
+def left_out(rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """(logits, classes) of the paragraphs left out, by a model that saw none of their templates."""
+    _, x, y, out = prepared()
+    w, b = _fit(x[~out], y[~out], rounds)
+    return x[out] @ w + b, y[out]
+
+
+def heat_of(z: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of the least log loss."""
+    return min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=lambda t: -np.log(soft(z / t)[y > 0] + 1e-12).mean())
+
+
+@functools.cache
+def train(rounds: int = 150) -> tuple[dict[str, list[float]], list[float]]:
+    """(weights by feature, intercepts), already divided by the calibration temperature."""
+    heat = heat_of(*left_out(rounds))
+    names, x, y, _ = prepared()
+    w, b = _fit(x, y, rounds)
+    return {f: (w[i] / heat).round(6).tolist() for i, f in enumerate(names) if np.abs(w[i]).max() > 0}, (b / heat).round(6).tolist()
 
 
 def _table(spark, rows: list[tuple[str, str]], names: list[str]) -> DataFrame:
@@ -174,7 +254,7 @@ def _template_rows() -> list[tuple[str, str, str, str]]:
     """(shingle, family, number, shingles of the template) of all templates."""
     rows = []
     for family, texts in TEMPLATES.items():
-        for t in texts:
+        for t in dict.fromkeys(texts + short_forms(family)):
             w = words_of(t)
             size = min(3, len(w))
             s = sorted({" ".join(w[i : i + size]) for i in range(len(w) - size + 1)})
