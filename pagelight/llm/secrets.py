@@ -6,8 +6,9 @@ replaced by another one; no pattern has it, and lengths stay.) Pieces are summed
 with very many matches costs in proportion.
 
 The battery takes every token of 20 or more characters of `A-Za-z0-9+/_=-`. By the encoding inferred (hexadecimal, base32,
-base64) it computes a chi-squared statistic of uniform use of the alphabet, in eight equal cells, a runs test about the
-alphabet's middle, and the lag-one serial correlation. The squares of the three (of the first only where use is uneven) add up to
+base64) it computes a chi-squared statistic of uniform use of the alphabet, in eight cells of nearly one size, a runs test about the
+alphabet's middle, and the lag-one serial correlation. Of base64 only the 62 letters and digits count: a key's are as uniform
+without the others (+/_-), and names and paths join words by those, which the decoys don't have. The squares of the three (of the first only where use is uneven) add up to
 one statistic, whose upper tail under randomness is the token's p-value: near nothing for words and names, anything for a key.
 
 False discoveries are controlled by decoys: the same battery runs on pieces of the texts' own prose, as many as there are
@@ -63,11 +64,12 @@ def _spans(pieces: str, marks: int, least: str) -> str:
 
 def _battery(tok: str) -> str:
     """struct(bin, size, ok) of a token: its p-value's place, its class of length, whether it has enough characters to judge."""
-    alpha = f"case when translate({tok}, '-', '') rlike '^([0-9a-f]+|[0-9A-F]+)$' then 16 when {tok} rlike '^[A-Z2-7]+=*$' then 32 else 64 end"
+    alpha = f"case when translate({tok}, '-', '') rlike '^([0-9a-f]+|[0-9A-F]+)$' then 16 when {tok} rlike '^[A-Z2-7]+=*$' then 32 else 62 end"
     place = """case when alpha = 16 then instr('0123456789abcdef', lower(c)) - 1 when alpha = 32 then instr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', c) - 1
-        else instr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', translate(c, '-_', '+/')) - 1 end"""
+        else instr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', c) - 1 end"""
     n = "size(idx)"
-    chi = f"(aggregate(sequence(0, 7), 0D, (a, k) -> a + pow(size(filter(idx, y -> y * 8 div alpha = k)), 2)) * 8 / {n} - {n})"
+    share = "if(alpha = 62, if(k % 4 = 3, 7, 8) / 62D, 0.125D)"  # of the alphabet in cell k
+    chi = f"(aggregate(sequence(0, 7), 0D, (a, k) -> a + pow(size(filter(idx, y -> y * 8 div alpha = k)), 2) / ({share})) / {n} - {n})"
     z_chi = f"((pow(greatest({chi}, 0D) / 7, 1/3D) - (1 - 2 / 63D)) / sqrt(2 / 63D))"
     z_runs = f"((1 + size(filter(sequence(1, {n} - 1), i -> (idx[i] >= alpha / 2) <> (idx[i - 1] >= alpha / 2))) - mr) / sqrt(greatest((mr - 1) * (mr - 2) / ({n} - 1), 0.25D)))"
     z_runs = _let("mr", _let("ups", "size(filter(idx, x -> x >= alpha / 2))", f"2D * ups * ({n} - ups) / {n} + 1"), z_runs)

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pagelight.llm import ann, bpe, decontam, licenses, secrets, sharding, simhash, toxicity, urls, warc
+from pagelight.llm.common import COMMON_WORDS
 
 AWKWARD = [(1, None), (2, ""), (3, " \t\n"), (4, "x" * 50_000), (5, "one two three four five " * 4000), (6, "same words here"), (7, "same words here"), (7, "same words here"), (None, "no id at all"), (8, "Ünïcode 𝒳 text\x00 with  marks")]
 
@@ -627,3 +628,71 @@ def test_archives_are_bounded_in_bytes(spark, tmp_path):
     assert max(sizes) < 48_000
     got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
     assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(i, 10 + i * 400) for i in range(60)]
+
+
+def _battery_by_numpy(token):
+    """(bin, class of length, enough characters) of a token, from the three statistics as they are defined."""
+    body = token.rstrip("=")
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", token.replace("-", "")):
+        letters, fold = "0123456789abcdef", str.lower
+    elif re.fullmatch(r"[A-Z2-7]+=*", token):
+        letters, fold = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", str
+    else:
+        letters, fold = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", str
+    x = np.array([letters.index(fold(c)) for c in body if fold(c) in letters], float)
+    size, n, a = sum(len(token) >= k for k in (24, 32, 40, 48, 64, 96)), len(x), len(letters)
+    if n < 12:
+        return None, size, False
+    cells, fair = np.bincount((x * 8 // a).astype(int), minlength=8), np.bincount(np.arange(a) * 8 // a) * n / a
+    chi = max(((cells - fair) ** 2 / fair).sum(), 0)
+    z_chi = ((chi / 7) ** (1 / 3) - (1 - 2 / 63)) / np.sqrt(2 / 63)
+    upper = x >= a / 2
+    m = 2 * upper.sum() * (n - upper.sum()) / n + 1
+    z_runs = (1 + (upper[1:] != upper[:-1]).sum() - m) / np.sqrt(max((m - 1) * (m - 2) / (n - 1), 0.25))
+    d = x - x.mean()
+    z_serial = (d[1:] * d[:-1]).sum() / max((d * d).sum(), 1) * np.sqrt(n)
+    total = max(z_chi, 0) ** 2 + z_runs**2 + z_serial**2
+    z = min(((total / 3) ** (1 / 3) - (1 - 2 / 27)) / np.sqrt(2 / 27), 20)
+    return np.log10(1 + np.exp(1.5976 * z + 0.070566 * z**3)) * 20, size, True
+
+
+def test_battery_equals_numpy(spark):
+    """Keys of each encoding, words, repeats, dashes, padding, and tokens with too few characters of the alphabet."""
+    rng = random.Random(3)
+    kinds = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz_-", "aab")
+    tokens = ["".join(rng.choices(k, k=n)) for k in kinds for n in (20, 23, 24, 32, 40, 63, 64, 96, 500)] + ["a" * 20, "=" * 20, "ab=" * 10, "0123-4567-89ab-cdef-0123", "ABCDEFGH234567ABCDEFGH======", "thewordsofalongerlineofprose", "A" * 11 + "=" * 9, "-" * 24]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i long, x string").selectExpr("i", f"{secrets._battery('x')} as t").collect()
+    assert len(got) == len(tokens)
+    for r in got:
+        place, size, ok = _battery_by_numpy(tokens[r["i"]])
+        assert (r["t"]["size"], r["t"]["ok"]) == (size, ok), tokens[r["i"]]
+        assert place is None or r["t"]["bin"] in {min(secrets.BINS - 1, int(np.floor(place + e))) for e in (-1e-6, 0, 1e-6)}, (tokens[r["i"]], place, r["t"])
+
+
+def test_random_spans_by_counted_decoys(spark):
+    """The level of each class of length is the last at which the decoys' share, times the tokens, is at most the wanted part of the discoveries;
+    exactly the tokens down to it are found."""
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    prose = lambda n: " ".join(rng.choices(COMMON_WORDS, k=n))
+    name = lambda: "_".join(rng.choices(COMMON_WORDS, k=8))
+    docs = [(i, f"{prose(30)} {key(rng.choice([20, 28, 40, 64])) if i % 3 else name()} {prose(30)} {name()}\n{prose(5)}") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scanned = secrets._scanned(df, "text", ["doc_id"]).collect()
+    decoys = [d for r in scanned for d in r["_decoys"]] + [r["t"] for r in secrets._fixed_decoys(spark).collect()]
+    tests = [t for r in scanned for t in r["_tests"]]
+    levels = {}
+    for size in range(7):
+        own, false = [t["bin"] for t in tests if t["ok"] and t["size"] == size], [t["bin"] for t in decoys if t["ok"] and t["size"] == size]
+        for b in range(20 * secrets.REJECT):
+            found = sum(x <= b for x in own)
+            if found and sum(x <= b for x in false) * len(own) <= secrets.FDR * found * len(false):
+                levels[size] = b
+    want = {(r["_row"]["doc_id"], x["s"], x["e"]) for r in scanned for x, t in zip(r["_t"], r["_tests"]) if t["ok"] and t["bin"] <= levels.get(t["size"], -1)}
+    got = {(r["doc_id"], x["s"], x["e"]) for r in secrets.scan(df).collect() for x in r["found"] if x["kind"] == "random"}
+    assert got == want and len(want) > 30
+    texts = dict(docs)
+    names = [texts[d][s:e] for d, s, e in got if "_" in texts[d][s:e] and texts[d][s:e].islower()]
+    assert len(names) <= 0.02 * len(got), (len(names), len(got), levels, names[:5])
+    keys = sum(len(k) >= 28 for i, t in docs if i % 3 for k in re.findall(r"[A-Za-z0-9+/]{20,}", t))
+    assert sum(texts[d][s:e] not in names and e - s >= 28 for d, s, e in got) >= 0.5 * keys, (len(got), keys, levels)
