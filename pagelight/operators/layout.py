@@ -1,27 +1,120 @@
 """Layout stage: blob classes, lines, columns, word segmentation, baselines, boxes.
 
-Windows are by page or by line, and a page's partitioning serves its lines, so a chain of these shuffles once. Lines and columns
-grow as blobs join them, in an order that matters; that fold is a small function over one page's boxes.
+Functions named `*_of` take a table of whole pages, all pages at once where steps don't depend on an order. Lines and columns grow as blobs join them, in
+an order that matters; that fold goes page by page. The functions over DataFrames deal rows by page or line and run the same on them; pages that a
+task makes from a row (`views.of_glyphs`) go through several of them before rows leave it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Rows that a task gathers at least before it looks for whole groups among them.
+GATHERED = 1 << 16
 
-def classify(components: DataFrame) -> DataFrame:
+
+def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where rows begin that have other keys than the row before, the first row included."""
+    if not t.num_rows:
+        return np.zeros(0, np.int64)
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        code = t.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def adjacent(batches: Iterable[pa.RecordBatch], keys: list[str], run: Callable[[pa.Table], pa.Table], gathered: int = GATHERED) -> Iterator[pa.Table]:
+    """run on tables of whole groups of rows with equal keys, which come one after the other in the batches. Only the last group waits for more rows."""
+    held, rows, wanted = [], 0, gathered
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < wanted:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        cut = int(group_starts(t, keys)[-1])
+        if cut:
+            yield run(t.slice(0, cut))
+        held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+        wanted = max(gathered, 2 * rows)  # a long group isn't copied with every batch
+    if rows:
+        yield run(pa.Table.from_batches(held).combine_chunks())
+
+
+def _one_by_one(t: pa.Table, run: Callable[[pa.Table], pa.Table]) -> pa.Table:
+    """run on each page of a table of whole pages."""
+    starts = group_starts(t, ["page_id"]).tolist() or [0]
+    return pa.concat_tables([run(t.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], t.num_rows])])
+
+
+def in_tasks(rows: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.Table]], schema: str) -> DataFrame:
+    """The tables that run makes of the batches of each task, with exactly the columns of the schema."""
+    arrow = pa.schema([f.with_nullable(True) for f in to_arrow_schema(StructType.fromDDL(schema))])
+
+    def typed(batches):
+        for t in run(batches):
+            yield from t.select(arrow.names).cast(arrow).to_batches()
+
+    return rows.mapInArrow(typed, schema)
+
+
+def _by(rows: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run on tables of whole groups of rows with equal keys."""
+    near = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return in_tasks(near, lambda batches: adjacent(batches, keys, run), schema)
+
+
+def _with(rows: DataFrame, more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [more])
+
+
+def _sorted_within(group: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The values of each group in order; group is a number that never falls, v has whole numbers."""
+    low = int(v.min(initial=0))
+    span = int(v.max(initial=0)) - low + 1
+    return np.sort(group * span + (v - low)) - group * span + low
+
+
+def _medians(n: np.ndarray, group: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The median of each group of n values."""
+    v, first = _sorted_within(group, v), np.cumsum(n) - n
+    return (v[first + (n - 1) // 2] + v[first + n // 2]) / 2.0
+
+
+def _whole(t: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [t.column(c).to_numpy().astype(np.int64) for c in columns]
+
+
+def classes_of(t: pa.Table) -> pa.Table:
     """components with blob_type; sizes are judged against the page's median height, pages of under 3 are all text."""
-    page = Window.partitionBy("page_id")
-    m, h = F.col("med"), F.col("h")
-    kind = (
-        F.when(F.col("blobs") < 3, "text")
-        .when(F.col("pixel_count") < F.col("w") * h * 0.1, "noise").when(h < m * 0.25, "noise").when(h < m * 0.5, "small")
-        .when((h <= m * 3.0) & (F.col("w") <= m * 10.0), "text").otherwise("large")
-    )
-    return components.withColumn("med", F.median("h").over(page)).withColumn("blobs", F.count("*").over(page)).withColumn("blob_type", kind).drop("med", "blobs")
+    starts = group_starts(t, ["page_id"])
+    n = np.diff(starts, append=t.num_rows)
+    page = np.repeat(np.arange(len(n)), n)
+    w, h, pixels = _whole(t, "w", "h", "pixel_count")
+    m = _medians(n, page, h)[page]
+    names = ["text", "noise", "small", "large"]
+    is_text = (h <= m * 3.0) & (w <= m * 10.0)
+    kind = np.select([n[page] < 3, (pixels < w * h * 0.1) | (h < m * 0.25), h < m * 0.5, is_text], [0, 1, 2, 0], 3)
+    return t.append_column("blob_type", pa.array(names).take(pa.array(kind)))
+
+
+def text_of(t: pa.Table) -> pa.Table:
+    found = classes_of(t)
+    return t.filter(pc.equal(found.column("blob_type"), "text")).combine_chunks()
+
+
+def classify(components: DataFrame) -> DataFrame:
+    return _by(components, ["page_id"], classes_of, _with(components, "blob_type string"))
 
 
 def text_blobs(components: DataFrame) -> DataFrame:
@@ -72,10 +165,24 @@ def _grown(t: pa.Table) -> pa.Table:
     return t.append_column("line_no", pa.array(place[row_of].astype(np.int32)))
 
 
+def lines_of(t: pa.Table) -> pa.Table:
+    return _one_by_one(t, _grown)
+
+
 def detect_lines(blobs: DataFrame) -> DataFrame:
     """blobs with line_no: each blob, by the middle of its height, then x, joins the row that it overlaps most, or begins one."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema) + ", line_no int"
-    return blobs.groupBy("page_id").applyInArrow(_grown, schema)
+    return _by(blobs, ["page_id"], lines_of, _with(blobs, "line_no int"))
+
+
+def boxes_of(t: pa.Table, line: str | None) -> pa.Table:
+    """(page_id, line, x_min, x_max, y_min, y_max, blobs) around the blobs of each line, or of each page."""
+    keys = ["page_id", line] if line else ["page_id"]
+    if line:
+        t = t.sort_by([(k, "ascending") for k in keys]).combine_chunks()
+    at = group_starts(t, keys)
+    x, y, w, h = _whole(t, "x", "y", "w", "h")
+    values = {"x_min": np.minimum.reduceat(x, at), "x_max": np.maximum.reduceat(x + w, at), "y_min": np.minimum.reduceat(y, at), "y_max": np.maximum.reduceat(y + h, at)} if len(at) else dict.fromkeys(("x_min", "x_max", "y_min", "y_max"), at)
+    return pa.table({k: t.column(k).take(pa.array(at)) for k in keys} | values | {"blobs": np.diff(at, append=t.num_rows)})
 
 
 def line_boxes(blobs: DataFrame, line: str = "line_no") -> DataFrame:
@@ -118,11 +225,14 @@ def _columns(t: pa.Table) -> pa.Table:
     return t.append_column("block_no", pa.array(place[column_of].astype(np.int32)))
 
 
+def columns_of(t: pa.Table) -> pa.Table:
+    return _one_by_one(t, _columns)
+
+
 def detect_columns(lines: DataFrame) -> DataFrame:
     """lines(page_id, line_no, x_min, x_max, y_min, y_max, ...) with block_no: each line, from the top, joins the column that it
     shares the largest part over half of the narrower one with, or begins one."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", block_no int"
-    return lines.groupBy("page_id").applyInArrow(_columns, schema)
+    return _by(lines, ["page_id"], columns_of, _with(lines, "block_no int"))
 
 
 def block_boxes(lines: DataFrame) -> DataFrame:
@@ -131,37 +241,79 @@ def block_boxes(lines: DataFrame) -> DataFrame:
     return found.withColumn("span", column_span(F.col("x_min"), F.col("x_max"))).withColumn("middle", column_middle(F.col("x_min"), F.col("x_max")))
 
 
-def word_ids(blobs: DataFrame, line_id: str = "line_id") -> DataFrame:
-    """blobs of a line, ordered by x, with word_id; a gap ends a word where it reaches the line's threshold,
-    the middle of the largest jump in its sorted gaps. Two gaps or fewer: half the median width. A largest
-    jump under 0.3 of the median width: one word."""
-    line = Window.partitionBy("page_id", line_id)
-    along = line.orderBy("x", "seq")
-    b = blobs.withColumn("gap", F.lead("x").over(along) - (F.col("x") + F.col("w")))
-    ranked = line.orderBy(F.col("gap").asc_nulls_last(), "x", "seq")
-    b = b.withColumn("lower", F.when(F.col("gap").isNotNull(), F.lag("gap").over(ranked)))
-    jump = F.col("gap") - F.col("lower")
-    top = F.max_by(F.struct("lower", "gap", jump.alias("jump")), F.struct(jump, -F.col("gap"))).over(line)
-    med, gaps, most = F.median("w").over(line), F.count("gap").over(line), F.max("gap").over(line)
-    b = b.withColumn("top", top).withColumn("med", med).withColumn("gaps", gaps).withColumn("most", most)
-    thr = (
-        F.when(F.col("gaps") <= 2, F.col("med") * 0.5).when(F.col("top.jump") < F.col("med") * 0.3, F.col("most") + 1.0)
-        .otherwise((F.col("top.lower") + F.col("top.gap")) / 2.0)
-    )
-    b = b.withColumn("thr", thr)
-    opens = F.when(F.lag("gap").over(along) >= F.col("thr"), 1).otherwise(0)
-    return b.withColumn("o", opens).withColumn("word_id", F.sum("o").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).select(*blobs.columns, "word_id")
+def _thresholds(n: np.ndarray, line: np.ndarray, w: np.ndarray, gap: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The gap that ends a word in each line: n blobs a line, their widths, the gaps after them (none after the last ones, `ends`)."""
+    med = _medians(n, line, w)
+    thr, many = med * 0.5, n - 1 > 2
+    if not many.any():
+        return thr
+    inside = ~ends & many[line]
+    group = line[inside]
+    gaps = _sorted_within(group, gap[inside])
+    last = np.cumsum(n[many] - 1) - 1
+    most = gaps[last]
+    jump = np.diff(gaps, prepend=gaps[0])
+    jump[np.concatenate(([0], last[:-1] + 1))] = -1  # the smallest gap of a line has none below it
+    top = np.maximum.reduceat(jump, np.concatenate(([0], last[:-1] + 1)))
+    at = np.flatnonzero(jump == np.repeat(top, n[many] - 1))
+    at = at[np.concatenate(([True], group[at][1:] != group[at][:-1]))]
+    thr[many] = np.where(top < med[many] * 0.3, most + 1.0, (gaps[at - 1] + gaps[at]) / 2.0)
+    return thr
+
+
+def words_of(t: pa.Table, line_id: str = "line_id") -> pa.Table:
+    """The words of a table of whole lines, the blobs of a line one after the other."""
+    starts = group_starts(t, ["page_id", line_id])
+    line = np.repeat(np.arange(len(starts)), np.diff(starts, append=t.num_rows))
+    x, y, w, h, seq = _whole(t, "x", "y", "w", "h", "seq")
+    order = np.lexsort((seq, x, line))
+    x, y, right, bottom, w = x[order], y[order], (x + w)[order], (y + h)[order], w[order]
+    ends = np.append(line[1:] != line[:-1], True)
+    gap = np.append(x[1:] - right[:-1], 0)
+    thr = _thresholds(np.diff(starts, append=t.num_rows), line, w, gap, ends)
+    opens = np.append(False, ~ends[:-1] & (gap[:-1] >= thr[line[:-1]]))
+    begins = opens.copy()
+    begins[starts] = True
+    at = np.flatnonzero(begins)
+    number = np.cumsum(opens)
+    number = number[at] - number[starts][line[at]]
+    keys = {c: t.column(c).take(pa.array(starts[line[at]])) for c in ("page_id", line_id)}
+    around = {"x": x[at], "y": np.minimum.reduceat(y, at), "right": np.maximum.reduceat(right, at), "bottom": np.maximum.reduceat(bottom, at)}
+    return pa.table(keys | {"word_id": number} | around | {"n_blobs": np.diff(at, append=t.num_rows)})
 
 
 def words(blobs: DataFrame, line_id: str = "line_id") -> DataFrame:
-    """(page_id, line_id, word_id, x, y, right, bottom, n_blobs)."""
-    return word_ids(blobs, line_id).groupBy("page_id", line_id, "word_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"), F.count("*").alias("n_blobs"))
+    """(page_id, line_id, word_id, x, y, right, bottom, n_blobs): the words of a line, from 0 by x. A gap ends a word where it reaches the line's
+    threshold, the middle of the largest jump in its sorted gaps. Two gaps or fewer: half the median width. A largest jump under 0.3 of the
+    median width: one word."""
+    b = blobs.select("page_id", line_id, "seq", "x", "y", "w", "h")
+    right, bottom = (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("bottom")
+    schema = _with(b.select("page_id", line_id, F.lit(0).alias("word_id"), "x", "y", right, bottom), "n_blobs long")
+    return _by(b, ["page_id", line_id], lambda t: words_of(t, line_id), schema)
+
+
+def _sums(x, y) -> list:
+    return [x, y, x * y, x * x]
+
+
+def sums_of(t: pa.Table, line_id: str = "line_id") -> pa.Table:
+    """(page_id, line_id, n, sx, sy, sxy, sxx) of whole lines, the blobs of a line one after the other: what a baseline is fitted from."""
+    at = group_starts(t, ["page_id", line_id])
+    x, y, w, h = _whole(t, "x", "y", "w", "h")
+    sums = [np.add.reduceat(v, at) if len(at) else at for v in _sums(x + w / 2.0, (y + h).astype(np.float64))]
+    keys = {c: t.column(c).take(pa.array(at)) for c in ("page_id", line_id)}
+    return pa.table(keys | {"n": np.diff(at, append=t.num_rows)} | dict(zip(("sx", "sy", "sxy", "sxx"), sums)))
 
 
 def baselines(blobs: DataFrame, line_id: str = "line_id") -> DataFrame:
     """(page_id, line_id, slope, intercept): least squares of bottoms on centres; one blob is level."""
     x, y = F.col("x") + F.col("w") / 2.0, (F.col("y") + F.col("h")).cast("double")
-    s = blobs.groupBy("page_id", line_id).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"))
+    sums = [F.sum(v).alias(n) for n, v in zip(("sx", "sy", "sxy", "sxx"), _sums(x, y))]
+    return fitted(blobs.groupBy("page_id", line_id).agg(F.count("*").alias("n"), *sums), line_id)
+
+
+def fitted(s: DataFrame, line_id: str = "line_id") -> DataFrame:
+    """(page_id, line_id, slope, intercept) from the sums of each line."""
     den = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     flat = (F.col("n") < 2) | (F.abs(den) < 1e-9)
     slope = F.when(flat, 0.0).otherwise((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / den)

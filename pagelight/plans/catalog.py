@@ -89,7 +89,8 @@ def blob_classes(spark, sf_dir):
 
 
 def words(spark, sf_dir):
-    return layout.words(_text_blobs(spark, sf_dir))
+    schema = "page_id long, line_id int, word_id int, x int, y int, right int, bottom int, n_blobs long"
+    return views.of_glyphs(spark, sf_dir, lambda t: layout.words_of(layout.text_of(t)), schema)
 
 
 def baselines(spark, sf_dir):

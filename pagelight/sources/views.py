@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelight.functions import scalar, vectors
-from pagelight.operators import pages
+from pagelight.operators import layout, pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,15 +36,56 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.gathered(raster(spark, sf_dir))
 
 
+#: The height of each character's box by code point, that of all others last, and the characters of few pixels.
+_HEIGHTS = np.array([3 if chr(c) in ".," else 6 if chr(c) in "-'\"" else 14 + c % 5 for c in range(128)] + [60], np.int32)
+_FAINT = np.array([chr(c) in "#%*" for c in range(128)] + [False])
+#: Characters that are boxes at a time, whole pages aside.
+CHARACTERS = 1 << 18
+
+GLYPHS = "page_id long, line_id int, seq int, x int, y int, w int, h int, pixel_count int"
+
+
+def glyphs_of(documents: pa.Table) -> pa.Table:
+    """The boxes of documents(page_id, text in UTF-8), those of a line one after the other, also where several documents are one page."""
+    texts = [(t or b"").decode("utf-8", "replace") for t in documents.column("text").to_pylist()]
+    n = np.array([len(t) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    document, at, first = np.repeat(np.arange(len(n)), n), np.arange(len(code)), np.cumsum(n) - n
+    ends = code == 10
+    opens = np.append(True, ends[:-1])[: len(code)]
+    opens[first[n > 0]] = True
+    number = np.cumsum(ends) - ends
+    number -= number[first[document]]
+    seq = at - np.maximum.accumulate(np.where(opens, at, 0))
+    box = np.flatnonzero((code != 32) & ~ends)
+    kind, line, seq = np.minimum(code[box], 128), number[box].astype(np.int32), seq[box].astype(np.int32)
+    h, w = _HEIGHTS[kind], np.full(len(box), 10, np.int32)
+    ids = documents.column("page_id")
+    t = pa.table({"page_id": ids.to_numpy()[document[box]], "line_id": line, "seq": seq, "x": seq * 12, "y": line * 40, "w": w, "h": h, "pixel_count": np.where(_FAINT[kind], 5, w * h).astype(np.int32)})
+    return t if len(layout.group_starts(documents, ["page_id"])) == len(ids) else t.sort_by([("page_id", "ascending"), ("line_id", "ascending")])
+
+
+def _glyph_tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The boxes of whole pages, of some pages at a time, from their documents in the order of pages."""
+    for b in layout.adjacent(batches, ["page_id"], lambda t: t, 1):
+        page = layout.group_starts(b, ["page_id"])
+        before = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy().astype(np.int64))
+        share = np.append(0, before)[page] // CHARACTERS
+        cuts = page[np.append(True, share[1:] != share[:-1])].tolist()
+        for start, end in zip(cuts, [*cuts[1:], b.num_rows]):
+            yield glyphs_of(b.slice(start, end - start))
+
+
+def of_glyphs(spark: SparkSession, sf_dir: str, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What run makes of the glyphs of whole pages, in the task that has their texts: texts are shuffled, glyphs are neither shuffled nor sorted."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("page_id"), F.col("text").cast("binary").alias("text"))
+    near = d.repartition("page_id").sortWithinPartitions("page_id")
+    return layout.in_tasks(near, lambda batches: map(run, _glyph_tables(batches)), schema)
+
+
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """components(page_id, line_id, seq, x, y, w, h, pixel_count): a box for each character of every line."""
-    d = table(spark, sf_dir, "documents").where("doc_id is not null")
-    lines = d.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line_id", "line"))
-    chars = lines.select("page_id", "line_id", F.posexplode(F.split("line", "")).alias("seq", "ch")).where("ch <> '' and ch <> ' '")
-    code = F.ascii("ch")
-    h = F.when(F.col("ch").isin(".", ","), 3).when(F.col("ch").isin("-", "'", '"'), 6).when(code > 127, 60).otherwise(14 + code % 5)
-    c = chars.select("page_id", "line_id", "seq", (F.col("seq") * 12).alias("x"), (F.col("line_id") * 40).alias("y"), F.lit(10).alias("w"), h.cast("int").alias("h"), "ch")
-    return c.select("page_id", "line_id", "seq", "x", "y", "w", "h", F.when(F.col("ch").isin("#", "%", "*"), 5).otherwise(F.col("w") * F.col("h")).alias("pixel_count"))
+    return of_glyphs(spark, sf_dir, lambda t: t, GLYPHS)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
