@@ -45,6 +45,14 @@ def _text_blobs(spark, sf_dir):
     return layout.text_blobs(views.glyphs(spark, sf_dir))
 
 
+def line_boxes_of(t):
+    """The lines of whole pages of glyphs."""
+    return layout.boxes_of(layout.lines_of(layout.text_of(t)), "line_no")
+
+
+LINES = "page_id long, line_no int, x_min int, x_max int, y_min int, y_max int, blobs long"
+
+
 def _black(spark, sf_dir):
     return pages.binarize(views.raster(spark, sf_dir))
 

@@ -58,8 +58,8 @@ def meeting_columns(spark, sf_dir):
 
 
 def columns(spark, sf_dir):
-    lined = layout.detect_lines(layout.text_blobs(views.glyphs(spark, sf_dir)))
-    return layout.block_boxes(layout.detect_columns(layout.line_boxes(lined)))
+    schema = catalog.LINES + ", block_no int"
+    return layout.block_boxes(views.of_glyphs(spark, sf_dir, lambda t: layout.columns_of(catalog.line_boxes_of(t)), schema))
 
 
 def beam_codes(spark, sf_dir):
