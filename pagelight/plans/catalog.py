@@ -127,7 +127,7 @@ def connected_components(spark, sf_dir):
 
 
 def text_lines(spark, sf_dir):
-    return layout.line_boxes(layout.detect_lines(_text_blobs(spark, sf_dir)))
+    return views.of_glyphs(spark, sf_dir, line_boxes_of, LINES)
 
 
 def box_methods(spark, sf_dir):

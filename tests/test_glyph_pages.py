@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from pagelight.operators import layout
 from pagelight.sources import views
 
-NAMES = ["words", "columns"]
+NAMES = ["words", "columns", "text_lines"]
 
 
 @pytest.fixture(scope="module")
