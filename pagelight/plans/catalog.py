@@ -93,7 +93,7 @@ def maxpool(spark, sf_dir):
 
 
 def blob_classes(spark, sf_dir):
-    return layout.classify(views.glyphs(spark, sf_dir)).select("page_id", "line_id", "seq", "blob_type")
+    return views.of_glyphs(spark, sf_dir, layout.classes_of, "page_id long, line_id int, seq int, blob_type string")
 
 
 def words(spark, sf_dir):
