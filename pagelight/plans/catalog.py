@@ -102,7 +102,8 @@ def words(spark, sf_dir):
 
 
 def baselines(spark, sf_dir):
-    return layout.baselines(_text_blobs(spark, sf_dir))
+    schema = "page_id long, line_id int, n long, sx double, sy double, sxy double, sxx double"
+    return layout.fitted(views.of_glyphs(spark, sf_dir, lambda t: layout.sums_of(layout.text_of(t)), schema))
 
 
 def block_boxes(spark, sf_dir):
