@@ -41,10 +41,6 @@ _RUNS = """, bk AS (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY pa
  rn AS (SELECT row_number() OVER (ORDER BY page_id, y, min(x)) AS r, page_id, y, min(x) AS x0, max(x) AS x1 FROM bk GROUP BY page_id, y, g)"""
 
 
-def _text_blobs(spark, sf_dir):
-    return layout.text_blobs(views.glyphs(spark, sf_dir))
-
-
 def line_boxes_of(t):
     """The lines of whole pages of glyphs."""
     return layout.boxes_of(layout.lines_of(layout.text_of(t)), "line_no")
@@ -107,7 +103,8 @@ def baselines(spark, sf_dir):
 
 
 def block_boxes(spark, sf_dir):
-    return _text_blobs(spark, sf_dir).groupBy("page_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"))
+    found = views.of_glyphs(spark, sf_dir, lambda t: layout.boxes_of(layout.text_of(t), None), "page_id long, x_min int, x_max int, y_min int, y_max int")
+    return found.select("page_id", F.col("x_min").alias("x"), F.col("y_min").alias("y"), F.col("x_max").alias("right"), F.col("y_max").alias("bottom"))
 
 
 def skew_profile(spark, sf_dir):

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from pagelight.operators import layout
 from pagelight.sources import views
 
-NAMES = ["words", "columns", "text_lines", "blob_classes", "baselines"]
+NAMES = ["words", "columns", "text_lines", "blob_classes", "baselines", "block_boxes"]
 
 
 @pytest.fixture(scope="module")
