@@ -166,7 +166,14 @@ def _grown(t: pa.Table) -> pa.Table:
 
 
 def lines_of(t: pa.Table) -> pa.Table:
-    return _one_by_one(t, _grown)
+    """blobs of whole pages with line_no: the pages are laid one under the other, where their rows don't meet, and are one fold."""
+    starts = group_starts(t, ["page_id"])
+    page = np.repeat(np.arange(len(starts)), np.diff(starts, append=t.num_rows))
+    y, h = _whole(t, "y", "h")
+    y -= y.min(initial=0)
+    under = pa.array(y + page * (int((y + h).max(initial=0)) + 1))
+    found = _grown(t.set_column(t.column_names.index("y"), "y", under)).column("line_no").to_numpy()
+    return t.append_column("line_no", pa.array((found - np.minimum.reduceat(found, starts)[page]).astype(np.int32)))
 
 
 def detect_lines(blobs: DataFrame) -> DataFrame:
@@ -178,7 +185,9 @@ def boxes_of(t: pa.Table, line: str | None) -> pa.Table:
     """(page_id, line, x_min, x_max, y_min, y_max, blobs) around the blobs of each line, or of each page."""
     keys = ["page_id", line] if line else ["page_id"]
     if line:
-        t = t.sort_by([(k, "ascending") for k in keys]).combine_chunks()
+        starts, (number,) = group_starts(t, ["page_id"]), _whole(t, line)
+        order = np.lexsort((number, np.repeat(np.arange(len(starts)), np.diff(starts, append=t.num_rows))))
+        t = t.select([*keys, "x", "y", "w", "h"]).take(pa.array(order))
     at = group_starts(t, keys)
     x, y, w, h = _whole(t, "x", "y", "w", "h")
     values = {"x_min": np.minimum.reduceat(x, at), "x_max": np.maximum.reduceat(x + w, at), "y_min": np.minimum.reduceat(y, at), "y_max": np.maximum.reduceat(y + h, at)} if len(at) else dict.fromkeys(("x_min", "x_max", "y_min", "y_max"), at)

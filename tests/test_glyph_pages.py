@@ -129,3 +129,12 @@ def test_pages_without_text():
         glyphs = views.glyphs_of(pa.table({"page_id": [1, 2], "text": pa.array(texts, pa.binary())}))
         none = layout.text_of(glyphs).slice(0, 0)
         assert [t.num_rows for t in (layout.classes_of(glyphs.slice(0, 0)), layout.words_of(none), layout.sums_of(none), layout.boxes_of(none, None), layout.columns_of(layout.boxes_of(layout.lines_of(none), "line_no")))] == [0] * 5
+
+
+def test_lines_of_many_pages_equal_lines_of_each():
+    rng = np.random.default_rng(8)
+    n = 900
+    page = np.sort(rng.integers(-3, 20, n))
+    t = pa.table({"page_id": page, "seq": np.arange(n), "x": rng.integers(0, 300, n), "y": rng.integers(-50, 300, n) * (1 + page % 3), "w": rng.integers(1, 9, n), "h": rng.integers(1, 40, n)})
+    each = pa.concat_tables([layout._grown(t.filter(pa.array(page == p))) for p in np.unique(page)])
+    assert layout.lines_of(t).equals(each)
