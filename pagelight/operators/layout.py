@@ -214,9 +214,13 @@ def _columns(t: pa.Table) -> pa.Table:
     left, right, n = np.empty(16, np.int64), np.empty(16, np.int64), 0
     column_of = np.empty(len(x0), np.int64)
     for i in np.lexsort((t.column("line_no").to_numpy(), t.column("y_min").to_numpy())).tolist():
-        a, b = x0[i], x1[i]
+        a, b = int(x0[i]), int(x1[i])
         best = -1
-        if n:
+        if n == 1:  # most pages: whole arrays of one column cost more
+            l, r = int(left[0]), int(right[0])
+            shared = min(b, r) - max(a, l)
+            best = 0 if shared > 0 and shared / min(max(b - a, 1), max(r - l, 1)) > 0.5 else -1
+        elif n:
             shared = np.minimum(b, right[:n]) - np.maximum(a, left[:n])
             ratio = np.where(shared > 0, shared / np.minimum(max(b - a, 1), np.maximum(right[:n] - left[:n], 1)), 0)
             best = int(np.argmax(ratio))
